@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from clipline.functions.expressions import when_chain
 
 
-def _add(score: Column, condition: Column, points: Column, cap: float | None = None) -> Column:
-    raised = score + points
-    if cap is not None:
-        raised = F.least(raised, F.lit(cap))
-    return F.when(condition, raised).otherwise(score)
-
-
 def _lit(value: float) -> Column:
     return F.lit(float(value))
 
 
+def _total(base: float | Column, parts: list[tuple[Column, Column | float]]) -> Column:
+    """Base plus the points of every condition that holds.
+
+    A sum of flat terms: nesting one ``when`` in the next would double the
+    expression with every rule.
+    """
+    score = base if isinstance(base, Column) else _lit(base)
+    for condition, points in parts:
+        score = score + F.when(condition, points if isinstance(points, Column) else _lit(points)).otherwise(_lit(0))
+    return score
+
+
 def _evidence(items: list[tuple[Column, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(c, text) for c, text in items]))
 
@@ -46,9 +51,8 @@ def window_candidates() -> Column:
     talking = face & (face_ratio > 0.08)
     busy = (edges > 0.15) & ~face
     group = persons >= 2
-    score = _lit(0.80)
-    for condition, points in ((c("opening_word"), 0.08), (talking, 0.06), (busy, 0.04), (group, 0.04)):
-        score = _add(score, condition, _lit(points), 0.95)
+    score = F.least(_lit(0.95), _total(0.80, [
+        (c("opening_word"), 0.08), (talking, 0.06), (busy, 0.04), (group, 0.04)]))
     opening = _candidate(
         (c("start_s") < c("duration_s") * c("opening_pct")) & (c("start_s") < 5.0), score, 0, "opening",
         _evidence([
@@ -69,9 +73,7 @@ def window_candidates() -> Column:
         (persons >= 3, _lit(0.08) * c("yolo_w"), F.lit("yolo_crowd_activity")),
         (vehicles >= 1, _lit(0.05) * c("yolo_w"), F.lit("yolo_vehicle_action")),
         (animals >= 1, _lit(0.03) * c("yolo_w"), F.lit("yolo_animal_presence"))]
-    score = _lit(0)
-    for condition, points, _ in rules:
-        score = _add(score, condition, points)
+    score = _total(0, [(condition, points) for condition, points, _ in rules])
     highlight = _candidate(score > 0.3, F.least(score, _lit(0.95)), 1, "highlight",
                            _evidence([(cond, text) for cond, _, text in rules]))
 
@@ -82,16 +84,12 @@ def window_candidates() -> Column:
         (c("silence_edge"), _lit(0.15), F.lit("silence_gap")),
         (c("max_hist_dist") > 0.5, _lit(0.15), F.lit("visual_color_shift")),
         (c("min_brightness") < 20, _lit(0.10), F.lit("visual_dark_transition"))]
-    score = _lit(0)
-    for condition, points, _ in rules:
-        score = _add(score, condition, points)
+    score = _total(0, [(condition, points) for condition, points, _ in rules])
     transition = _candidate(score > 0.35, F.least(score, _lit(0.90)), 2, "transition",
                             _evidence([(cond, text) for cond, _, text in rules]))
 
     # Effect: a short window with a strong signal.
-    score = _lit(0.65) + F.least(peak * _lit(0.05), _lit(0.15))
-    score = _add(score, flow > 25.0, _lit(0.10), 0.90)
-    score = _add(score, saturation > 150, _lit(0.08), 0.90)
+    score = _total(_lit(0.65) + F.least(peak * _lit(0.05), _lit(0.15)), [(flow > 25.0, 0.10), (saturation > 150, 0.08)])
     effect = _candidate(
         (length < 3.0) & ((peak > 2.0) | (rate > 3)), F.least(score, _lit(0.90)), 3, "effect",
         _evidence([
@@ -100,9 +98,7 @@ def window_candidates() -> Column:
 
     # Closing: close to the end of the video.
     fade_out = (c("min_brightness") < 25) & (c("avg_flow_or_high") < 3.0)
-    score = _lit(0.80)
-    for condition, points in ((c("closing_word"), 0.08), (c("is_fading"), 0.05), (fade_out, 0.05)):
-        score = _add(score, condition, _lit(points), 0.95)
+    score = F.least(_lit(0.95), _total(0.80, [(c("closing_word"), 0.08), (c("is_fading"), 0.05), (fade_out, 0.05)]))
     closing = _candidate(
         c("start_s") > c("duration_s") * (_lit(1.0) - c("closing_pct")), score, 4, "closing",
         _evidence([

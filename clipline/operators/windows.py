@@ -357,18 +357,20 @@ def merge_adjacent(segments: DataFrame, order: str = "win") -> DataFrame:
         segments, ["video_id"], [order], dense=True,
         values={"type": F.col("structure_type"), "start": F.col("start_s"), "end": F.col("end_s")},
         together=together)
-    merged = runs.groupBy("video_id", "island").agg(
-        F.min_by("start_s", order).alias("start_s"), F.max_by("end_s", order).alias("end_s"),
-        F.first("structure_type").alias("structure_type"), F.min_by("sub_type", order).alias("sub_type"),
-        F.max("confidence").alias("confidence"))
-    shown = runs.select("video_id", "island", F.col(order).alias("_o"), F.posexplode("evidence").alias("_i", "_e"))
-    shown = shown.groupBy("video_id", "island", "_e").agg(F.min(F.struct("_o", "_i")).alias("_at"))
-    union = shown.groupBy("video_id", "island").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_at", "_e"))), lambda s: s["_e"]).alias("evidence"))
-    return (merged.join(union, ["video_id", "island"], "left")
-            .select("video_id", (F.col("island") - 1).alias("seg_idx"), "start_s", "end_s", "structure_type",
-                    "sub_type", "confidence",
-                    F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")))
+    # First one row per distinct evidence of a run, then one row per run.
+    shown = runs.select(
+        "video_id", "island", "start_s", "end_s", "structure_type", "sub_type", "confidence",
+        F.col(order).alias("_o"), F.posexplode_outer("evidence").alias("_i", "_e"))
+    distinct = shown.groupBy("video_id", "island", "structure_type", "_e").agg(
+        F.min(F.struct("_o", "_i")).alias("_at"), F.min(F.struct("_o", "start_s", "sub_type")).alias("_from"),
+        F.max(F.struct("_o", "end_s")).alias("_to"), F.max("confidence").alias("confidence"))
+    merged = distinct.groupBy("video_id", "island", "structure_type").agg(
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("confidence").alias("confidence"),
+        F.sort_array(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct("_at", "_e")))).alias("_all"))
+    return merged.select(
+        "video_id", (F.col("island") - 1).alias("seg_idx"), F.col("_from.start_s").alias("start_s"),
+        F.col("_to.end_s").alias("end_s"), "structure_type", F.col("_from.sub_type").alias("sub_type"),
+        "confidence", F.transform("_all", lambda s: s["_e"]).alias("evidence"))
 
 
 def normalise_boundaries(raw: DataFrame, json_col: str = "boundary") -> DataFrame:

@@ -98,7 +98,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object boxes per frame; ``det_id`` orders the boxes of a frame."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("frame"),
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.unix_seconds("l_shipdate")).alias("det_id"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("det_id"),
         F.when(F.col("l_returnflag") == "A", "person").when(F.col("l_returnflag") == "N", "car")
         .otherwise("dog").alias("class_name"),
         (F.lit(1.0) - F.col("l_discount")).alias("confidence"),
@@ -111,7 +111,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit-script modules: position, id, type, track, start and duration."""
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("script_id"), F.unix_micros("l_shipdate").alias("_us"), "l_linenumber",
+        F.col("l_orderkey").alias("script_id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("_us"), "l_linenumber",
         "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
     rows = with_totals(rows, ["script_id"], _first=F.min("_us"))
     rows = ordered(rows, ["script_id"], ["_us", "l_linenumber", "l_partkey", "l_suppkey"], number="pos")
@@ -128,7 +128,7 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks 0 and 1 for every script."""
     scripts_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("script_id"))
-    return scripts_.select("script_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("index"))
+    return scripts_.select("script_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("index"))
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +141,4 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise("pending"))
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderpriority").alias("type"),
-        F.col("o_orderdate").alias("updated_at"), F.col("o_totalprice").alias("elapsed_ms"))
+        F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.col("o_totalprice").alias("elapsed_ms"))

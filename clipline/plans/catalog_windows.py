@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipline.operators import windows as W
 from clipline.plans import adapters as A
 from clipline.plans.oracle import with_tables
+from clipline.session import cut
 
 
 def _r(name: str, digits: int = 6):
@@ -18,12 +19,21 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
     return W.sliding_windows(A.videos(spark, d))
 
 
-def narrative_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Windows, their signals, type scores and merged segments: the whole inference."""
+def best_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Best segment type of every window that has one."""
     signals = W.window_signals(
         _windows(spark, d), curve=A.curve(spark, d), cuts=A.boundaries(spark, d), texts=A.texts(spark, d),
         silence=A.silence(spark, d), speech=A.speech(spark, d))
-    return W.merge_adjacent(W.best_type(W.score_windows(signals)))
+    return W.best_type(W.score_windows(signals))
+
+
+def narrative_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Windows, their signals, type scores and merged segments: the whole inference.
+
+    The scored windows are stored once before they are merged, since the merge
+    reads them more than once.
+    """
+    return W.merge_adjacent(cut(best_windows(spark, d)))
 
 
 def _flat(segments: DataFrame) -> DataFrame:
@@ -97,11 +107,7 @@ def w09(spark, d):
 
 
 def w11(spark, d):
-    signals = W.window_signals(
-        _windows(spark, d), curve=A.curve(spark, d), cuts=A.boundaries(spark, d), texts=A.texts(spark, d),
-        silence=A.silence(spark, d), speech=A.speech(spark, d))
-    best = W.best_type(W.score_windows(signals))
-    return _flat(best).select("video_id", "win", "start_s", "end_s", "structure_type", "sub_type", "confidence",
+    return _flat(best_windows(spark, d)).select("video_id", "win", "start_s", "end_s", "structure_type", "sub_type", "confidence",
                               "evidence")
 
 
