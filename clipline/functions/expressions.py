@@ -63,3 +63,23 @@ def ranked(scores: Sequence[tuple[str, Column]]) -> Column:
     entries = [F.struct(s.alias("score"), F.lit(-i).alias("rank"), F.lit(n).alias("label"))
                for i, (n, s) in enumerate(scores)]
     return F.reverse(F.array_sort(F.array(*entries)))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text with 1 to 3 decimals, rounded on the exact binary value (half to even).
+
+    ``format_string`` rounds the shortest decimal form instead, so 405.95,
+    which is stored slightly below, would become 406.0.
+    """
+    scale = 10**digits
+    size = F.abs(x)
+    whole = F.floor(size).cast("long")
+    scaled = ((size - whole) * F.lit(float(2**52))).cast("long") * F.lit(scale)
+    steps = F.shiftright(scaled, 52)
+    rest = scaled - F.shiftleft(steps, 52)
+    half = F.lit(2**51)
+    up = F.when((rest > half) | ((rest == half) & (steps % 2 == 1)), 1).otherwise(0)
+    total = whole * F.lit(scale) + steps + up
+    return F.concat(
+        F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.floor(total / F.lit(scale)).cast("long").cast("string"),
+        F.lit("."), F.lpad((total % F.lit(scale)).cast("string"), digits, "0"))

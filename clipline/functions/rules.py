@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clipline.functions.expressions import when_chain
+from clipline.functions.expressions import fixed, when_chain
 
 
 def _lit(value: float) -> Column:
@@ -62,8 +62,8 @@ def window_candidates() -> Column:
 
     # Highlight: loud, fast, emotional.
     rules = [
-        (peak > _lit(1.8) * c("energy_mult"), _lit(0.35), F.format_string("energy_peak_%.1fx", peak)),
-        (rate > _lit(2) * c("cut_mult"), _lit(0.20), F.format_string("cut_rate_%.1f/s", rate)),
+        (peak > _lit(1.8) * c("energy_mult"), _lit(0.35), F.concat(F.lit("energy_peak_"), fixed(peak, 1), F.lit("x"))),
+        (rate > _lit(2) * c("cut_mult"), _lit(0.20), F.concat(F.lit("cut_rate_"), fixed(rate, 1), F.lit("/s"))),
         (c("highlight_word"), _lit(0.20) * c("ocr_w"), F.lit("highlight_ocr_match")),
         (c("speech_s") / F.greatest(length, _lit(0.1)) > 0.7, _lit(0.10) * c("audio_w"),
          F.lit("high_speech_density")),
@@ -79,7 +79,7 @@ def window_candidates() -> Column:
 
     # Transition: cuts, silence, colour shifts.
     rules = [
-        (rate > 0.5, _lit(0.40), F.format_string("scene_switch_%.1f/s", rate)),
+        (rate > 0.5, _lit(0.40), F.concat(F.lit("scene_switch_"), fixed(rate, 1), F.lit("/s"))),
         (c("transition_word"), _lit(0.20), F.lit("transition_ocr")),
         (c("silence_edge"), _lit(0.15), F.lit("silence_gap")),
         (c("max_hist_dist") > 0.5, _lit(0.15), F.lit("visual_color_shift")),
@@ -93,7 +93,7 @@ def window_candidates() -> Column:
     effect = _candidate(
         (length < 3.0) & ((peak > 2.0) | (rate > 3)), F.least(score, _lit(0.90)), 3, "effect",
         _evidence([
-            (true, F.format_string("short_segment_%.1fs", length)),
+            (true, F.concat(F.lit("short_segment_"), fixed(length, 1), F.lit("s"))),
             (flow > 25.0, F.lit("visual_intense_motion")), (saturation > 150, F.lit("visual_high_saturation"))]))
 
     # Closing: close to the end of the video.

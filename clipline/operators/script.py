@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clipline.constants import MODULE_TYPES, RENDER_TRANSITIONS, SOURCE_TYPES, TRACK_TYPES
+from clipline.functions.expressions import fixed
 from clipline.operators.ordered import islands, ordered
 from clipline.operators.ranges import points_in_spans
 
@@ -361,7 +362,7 @@ def check_continuity(modules: DataFrame, tolerance: float = 0.01) -> DataFrame:
     overlap = F.col("_delta") < 0
     detail = F.concat(
         F.when(overlap, F.lit("overlap of ")).otherwise(F.lit("gap of ")),
-        F.format_string("%.2f", F.abs("_delta")), F.lit("s between "), _name("id"), F.lit(" and "), _name("_next_id"))
+        fixed(F.abs(F.col("_delta")), 2), F.lit("s between "), _name("id"), F.lit(" and "), _name("_next_id"))
     return _issues(off, "continuity", F.when(overlap, "error").otherwise("warning"), _track(detail),
                    F.concat(F.lit("modules."), F.col("id")), F.col("id"), F.col("_index"), F.col("track_index"))
 
@@ -406,8 +407,8 @@ def check_duration(scripts: DataFrame, modules: DataFrame, tolerance: float = 0.
     ends = modules.groupBy("script_id").agg(F.max(F.col("start_time") + F.col("duration")).alias("_end"))
     declared = F.coalesce(F.col("total_duration"), F.lit(0.0))
     off = scripts.join(ends, KEY).filter(F.abs(F.col("_end") - declared) > tolerance)
-    text = F.format_string("Declared total_duration (%.1fs) differs from actual timeline end (%.1fs)",
-                           declared, F.col("_end"))
+    text = F.concat(F.lit("Declared total_duration ("), fixed(declared, 1),
+                    F.lit("s) differs from actual timeline end ("), fixed(F.col("_end"), 1), F.lit("s)"))
     return _issues(off, "duration", "warning", text, F.lit("metadata.total_duration"))
 
 

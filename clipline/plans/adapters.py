@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipline.constants import SEGMENT_TYPES
 from clipline.operators.ordered import ordered, with_totals
 
 MICROS_PER_MEDIA_SECOND = 3.6e9
@@ -76,6 +77,20 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("video_id", "t_s", "value", F.concat(F.lit("k"), F.col("k").cast("string")).alias("text")))
 
 
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment per day of events (24 media seconds), with the event types as evidence."""
+    e = media_events(spark, sf_dir).withColumn("seg_idx", F.floor(F.col("t_s") / 24))
+    kinds = F.array(*[F.lit(t) for t in SEGMENT_TYPES])
+    rows = e.groupBy("video_id", "seg_idx").agg(
+        F.min("t_s").alias("start_s"), F.max("t_s").alias("end_s"), F.count(F.lit(1)).alias("_n"),
+        F.sort_array(F.collect_set("event_type")).alias("evidence"))
+    return rows.select(
+        "video_id", "seg_idx", "start_s", "end_s",
+        F.get(kinds, (F.col("seg_idx") % 5).cast("int")).alias("structure_type"),
+        F.concat(F.lit("s"), (F.col("_n") % 3).cast("string")).alias("sub_type"), F.lit(0.8).alias("confidence"),
+        "evidence")
+
+
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("seq"), "text",

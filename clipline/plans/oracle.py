@@ -38,13 +38,17 @@ CTE = {
     "jobs": """SELECT o_orderkey AS job_id,
           CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'processing' ELSE 'pending' END AS status,
           o_orderpriority AS type, o_orderdate AS updated_at, o_totalprice AS elapsed_ms FROM orders""",
+    "segments": """SELECT video_id, CAST(floor(t_s / 24) AS BIGINT) AS seg_idx, min(t_s) AS start_s, max(t_s) AS end_s,
+          ['opening', 'highlight', 'transition', 'effect', 'closing'][CAST(floor(t_s / 24) AS BIGINT) % 5 + 1]
+            AS structure_type, 's' || (count(*) % 3) AS sub_type, list_sort(list_distinct(list(event_type))) AS evidence
+        FROM ev GROUP BY video_id, CAST(floor(t_s / 24) AS BIGINT)""",
     "transcript": """SELECT conv_id AS video_id, turn AS seq, text,
           CAST(coalesce(sum(length(text)) OVER w0, 0) AS DOUBLE) / 15.0 AS start_s,
           CAST(sum(length(text)) OVER w1 AS DOUBLE) / 15.0 AS end_s FROM conversations
         WINDOW w0 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                w1 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "frames": """SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, vec_id,
-          list_transform(embedding, x -> CAST(abs(x) AS DOUBLE)) AS hist FROM embeddings""",
+          list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE)) AS hist FROM embeddings""",
     "detections": """SELECT l_orderkey AS frame,
           concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(epoch(l_shipdate) AS BIGINT)) AS det_id,
           CASE l_returnflag WHEN 'A' THEN 'person' WHEN 'N' THEN 'car' ELSE 'dog' END AS class_name,
@@ -56,7 +60,7 @@ CTE = {
 
 _NEEDS = {
     "curve": ["ev"], "videos": ["ev"], "cuts": ["ev"], "beats": ["ev"], "speech": ["ev"], "silence": ["ev"],
-    "texts": ["ev"], "windows": ["ev", "videos"], "totals": ["ev", "curve"],
+    "texts": ["ev"], "windows": ["ev", "videos"], "totals": ["ev", "curve"], "segments": ["ev"],
 }
 
 
