@@ -27,17 +27,27 @@ ROWS_PER_CHUNK = 1_000_000
 _CHUNK = "_chunk"
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], first: str, dense: bool) -> DataFrame:
+def _chunked(df: DataFrame, keys: Sequence[str], first: str, dense: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with their chunk, and the rows of the keys that have more than one chunk.
+
+    Such a key has more than ``ROWS_PER_CHUNK`` rows, so there are at most
+    ``rows / ROWS_PER_CHUNK`` of them: a table of that size is safe to
+    broadcast.  When it turns out empty, adaptive execution drops everything
+    that is derived from the second result.
+    """
+    keys, at, size = list(keys), F.col(first), F.lit(ROWS_PER_CHUNK)
     if dense:
-        return df.withColumn(_CHUNK, F.floor(F.col(first) / F.lit(ROWS_PER_CHUNK)).cast("long"))
-    long_keys = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(first).alias("_lo"), F.max(first).alias("_hi"))
-        .filter((F.col("_n") > ROWS_PER_CHUNK) & (F.col("_hi") > F.col("_lo")))
-        .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo"))
-                               / F.ceil(F.col("_n") / F.lit(ROWS_PER_CHUNK))).alias("_width")))
-    chunk = F.coalesce(F.floor((F.col(first) - F.col("_lo")) / F.col("_width")).cast("long"), F.lit(0).cast("long"))
-    return df.join(long_keys, list(keys), "left").withColumn(_CHUNK, chunk).drop("_lo", "_width")
+        long_keys = df.filter((at >= size) | (at < 0)).select(*keys).distinct()
+        rows = df.withColumn(_CHUNK, F.floor(at / size).cast("long"))
+    else:
+        long_keys = (
+            df.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+            .filter((F.col("_n") > ROWS_PER_CHUNK) & (F.col("_hi") > F.col("_lo")))
+            .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / size)).alias("_width")))
+        chunk = F.coalesce(F.floor((at - F.col("_lo")) / F.col("_width")).cast("long"), F.lit(0).cast("long"))
+        rows = df.join(F.broadcast(long_keys), keys, "left").withColumn(_CHUNK, chunk).drop("_lo", "_width")
+    return rows, rows.join(F.broadcast(long_keys.select(*keys)), keys, "left_semi")
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
@@ -86,13 +96,13 @@ def ordered(
     previous = F.struct(*[e.alias(n) for n, e in lag.items()]) if lag else None
     following = F.struct(*[e.alias(n) for n, e in lead.items()]) if lead else None
 
-    rows = _chunked(df, keys, order[0], dense)
+    rows, long_rows = _chunked(df, keys, order[0], dense)
     aggregates = [getattr(F, fn)(e).alias(n) for n, (fn, e) in totals.items()]
     if lag:
         aggregates.append(F.max_by(previous, position).alias("_last"))
     if lead:
         aggregates.append(F.min_by(following, position).alias("_first"))
-    summary = _multi_chunk_only(rows.groupBy(*keys, _CHUNK).agg(*aggregates), keys)
+    summary = _multi_chunk_only(long_rows.groupBy(*keys, _CHUNK).agg(*aggregates), keys)
 
     by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
@@ -161,15 +171,18 @@ def islands(
     """
     keys, order = list(keys), list(order)
     source = list(df.columns)
-    rows = _chunked(df, keys, order[0], dense)
+    rows, long_rows = _chunked(df, keys, order[0], dense)
     current = F.struct(*[e.alias(n) for n, e in values.items()])
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    rows = rows.withColumn("_cur", current).withColumn("_prev", F.lag("_cur").over(local))
     starts = F.when(F.col("_prev").isNull(), 0).otherwise(
         F.when(F.coalesce(together(F.col("_prev"), F.col("_cur")), F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("_starts", starts)
 
-    summary = rows.groupBy(*keys, _CHUNK).agg(
+    def marked(part: DataFrame) -> DataFrame:
+        return part.withColumn("_cur", current).withColumn("_prev", F.lag("_cur").over(local)).withColumn(
+            "_starts", starts)
+
+    rows = marked(rows)
+    summary = marked(long_rows).groupBy(*keys, _CHUNK).agg(
         F.sum("_starts").alias("_n"),
         F.min_by("_cur", F.struct(*order)).alias("_first"),
         F.max_by("_cur", F.struct(*order)).alias("_last"))

@@ -9,6 +9,7 @@ from clipline.functions.expressions import safe_ratio, when_chain
 from clipline.operators.ordered import islands, ordered, percentiles
 from clipline.operators.ranges import points_in_spans
 from clipline.operators.windows import curve_totals, points_in_windows
+from clipline.session import cut
 
 VID = ["video_id"]
 
@@ -335,9 +336,10 @@ def energy_sections(curve: DataFrame, videos: DataFrame, limit: int = 10, digits
     """First ten rising or falling sections of the smoothed curve (slope beyond 0.001).
 
     Slopes are rounded to ``digits`` decimals before they are compared, which
-    keeps the result free of summation order.
+    keeps the result free of summation order.  The smoothed curve is stored
+    once, since the ordered steps behind it read it several times.
     """
-    near = ordered(smooth_curve(curve).filter("n_points >= 6"), VID, ["idx"], dense=True,
+    near = ordered(cut(smooth_curve(curve).filter("n_points >= 6")), VID, ["idx"], dense=True,
                    lead={"_next": F.col("smoothed")})
     slope = F.round(F.col("_next") - F.col("smoothed"), digits)
     steps = near.filter(F.col("_next").isNotNull() & (F.col("idx") >= 1)).withColumn(

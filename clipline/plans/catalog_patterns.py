@@ -35,7 +35,7 @@ def d04(spark, d):
 
 
 def d05(spark, d):
-    return P.curve_intensity(A.curve(spark, d).withColumn("value", F.col("value") / 100)).select(
+    return P.curve_intensity(A.curve(spark, d).withColumn("value", F.col("value") / 97)).select(
         "video_id", "p25", "p75", "mean", "peak", "variance", "dynamic_ratio")
 
 
@@ -224,13 +224,13 @@ _BEAT = """SELECT video_id, bpm, round(60.0 / bpm, 3) AS beat_interval, round(r,
 ORACLE = {
     "d01_shots": with_tables("cuts videos", "SELECT video_id, shot_idx, round(duration, 6) AS duration FROM shots_",
                              shots_=_SHOTS),
-    "d02_duration_hist": with_tables("cuts videos", _HIST.replace("WITH", ""), shots_=_SHOTS),
+    "d02_duration_hist": with_tables("cuts videos", _HIST, shots_=_SHOTS),
     "d03_rhythm_pattern": with_tables("cuts videos", _RHYTHM, shots_=_SHOTS),
     "d04_rate_by_type": with_tables("segments cuts", _RATE.format(name="rate", points="cuts")),
     "d05_curve_intensity": with_tables("curve", """SELECT video_id, round(quantile_cont(v, 0.25), 4) AS p25,
         round(quantile_cont(v, 0.75), 4) AS p75, round(avg(v), 4) AS mean, round(max(v), 4) AS peak,
         round(var_pop(v), 6) AS variance, round(count(*) FILTER (v > 0.1) / count(*), 3) AS dynamic_ratio
-        FROM (SELECT video_id, value / 100 AS v FROM curve) GROUP BY video_id"""),
+        FROM (SELECT video_id, value / 97 AS v FROM curve) GROUP BY video_id"""),
     "d06_timed_texts": with_tables("ev", """SELECT video_id, frame_index, seq, text, round(x, 4) AS x, round(y, 4) AS y,
         round(w, 4) AS w, round(h, 4) AS h FROM ocr""", ocr=_OCR),
     "d07_position_shares": with_tables("ev", """SELECT video_id, round(count(*) FILTER (c < 0.33) / count(*), 3) AS top,
