@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clipline.operators import audio as U
 from clipline.operators import curves as C
 from clipline.operators import windows as W
+from clipline.operators.ordered import ordered
 from clipline.plans import adapters as A
 from clipline.plans.oracle import with_tables
 
@@ -157,7 +158,10 @@ def a06(spark, d):
 
 
 def a07(spark, d):
-    return U.autocorr_peak(A.curve(spark, d)).select("video_id", _r("pulse_regularity"))
+    # Ten long curves instead of many short ones, so that there are lags to search.
+    e = A.media_events(spark, d).select((F.col("video_id") % 10).alias("video_id"), "us", F.col("video_id").alias("user"), "value")
+    curve = ordered(e, ["video_id"], ["us", "user"], number="idx")
+    return U.autocorr_peak(curve).select("video_id", _r("pulse_regularity"))
 
 
 def a08(spark, d):
@@ -274,6 +278,23 @@ _MOOD_ROWS = " UNION ALL ".join(
     f"SELECT video_id, {i} AS rk, '{m}' AS mood, CAST({s} AS DOUBLE) AS score FROM inputs"
     for i, (m, s) in enumerate(_MOODS.items()))
 
+_KINDS = {
+    "激昂/紧张": f".3*{_ramp('bpm',120.0,180.0)} + .2*{_gauss('sc',2500.0,1000.0)} + .3*{_ramp('cv',.3,.6)} "
+                 f"+ .2*{_gauss('low',.3,.12)}",
+    "轻松/愉快": f".25*{_tri('bpm',110.0,30.0)} + .2*{_gauss('sc',2200.0,800.0)} + .3*(1-{_ramp('cv',.15,.3)}) "
+                 f"+ .25*{_gauss('low',.3,.12)}",
+    "舒缓/宁静": f".25*(1-{_ramp('bpm',60.0,100.0)}) + .25*(1-{_ramp('sc',800.0,2000.0)}) + .3*(1-{_ramp('cv',.05,.25)}) "
+                 f"+ .2*{_ramp('low',.3,.6)}",
+    "悲伤/沉郁": f".25*{_tri('bpm',75.0,20.0)} + .2*(1-{_ramp('sc',800.0,2000.0)}) + .3*(1-{_ramp('k','(-.005)',.005)}) "
+                 f"+ .25*{_ramp('low',.35,.65)}",
+    "电子/科技": f".25*{_ramp('bpm',110.0,170.0)} + .25*{_ramp('sc',3000.0,5000.0)} + .3*{_ramp('p',.3,.8)} "
+                 f"+ .2*(1-{_ramp('low',.15,.35)})",
+    "节奏/打击": f".2*{_ramp('bpm',100.0,170.0)} + .15*{_gauss('sc',2000.0,900.0)} + .25*g + .4*{_ramp('low',.4,.7)}",
+}
+_KIND_ROWS = " UNION ALL ".join(
+    f"SELECT video_id, {i} AS rk, '{m}' AS name, CAST({q} AS DOUBLE) AS score FROM inputs"
+    for i, (m, q) in enumerate(_KINDS.items()))
+
 ORACLE = {
     "f01_normalize_hist": with_tables("frames", """SELECT video_id, idx, unnest(range(0, 64)) AS bin,
           round(unnest(list_transform(hist, lambda x: (x - list_min(hist)) / (list_max(hist) - list_min(hist)))), 6)
@@ -356,6 +377,22 @@ ORACLE = {
     "a05_membership": with_tables("ev", f"""SELECT video_id, round(max({_ramp('value', 20.0, 90.0)}), 6) AS r,
         round(avg({_tri('value', 50.0, 25.0)}), 6) AS t, round(avg({_gauss('value', 50.0, 10.0)}), 6) AS g
         FROM ev GROUP BY video_id"""),
+    "a07_autocorr_peak": with_tables("ev", """SELECT video_id, round(max(CASE WHEN lag >= 20 AND lag < (n + 1) // 2 - 20 THEN c END)
+          / (max(CASE WHEN lag = 0 THEN c END) + 1e-10), 6) AS pulse_regularity FROM (
+        SELECT a.video_id, b.idx - a.idx AS lag, max(a.n) AS n, sum(a.x * b.x) AS c FROM c a JOIN c b
+          ON a.video_id = b.video_id AND b.idx >= a.idx AND b.idx < a.idx + (a.n + 1) // 2 - 20
+        GROUP BY a.video_id, b.idx - a.idx) GROUP BY video_id""",
+        c="""SELECT video_id, idx, count(*) OVER v AS n, (value - avg(value) OVER v) / (max(value) OVER v + 1e-10) AS x FROM (
+          SELECT video_id % 10 AS video_id, value, row_number() OVER (PARTITION BY video_id % 10 ORDER BY us, video_id) - 1 AS idx
+          FROM ev) WINDOW v AS (PARTITION BY video_id)"""),
+    "a06_classify_bgm": with_tables("curve beats", """SELECT video_id, CASE WHEN score < 0.5 THEN '无法判定' ELSE name END AS bgm_type,
+          round(score, 3) AS bgm_confidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, rk) AS rn
+          FROM kinds) WHERE rn = 1""", raw=_MUSIC, inputs="""SELECT r.*, coalesce(slope, 0.0) AS k, CASE WHEN nb >= 4 THEN
+          greatest(0.0, 1.0 - bcv) ELSE 0.0 END AS g, 0.0::DOUBLE AS p FROM raw r LEFT JOIN (SELECT video_id,
+            regr_slope(value / (m + 1e-10), idx::DOUBLE) AS slope FROM (SELECT *, max(value) OVER (PARTITION BY video_id) AS m
+            FROM curve) GROUP BY video_id) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS nb,
+            stddev_pop(gap) / (avg(gap) + 1e-10) AS bcv FROM (SELECT video_id, t_s - lag(t_s) OVER (PARTITION BY video_id
+            ORDER BY t_s) AS gap FROM beats) GROUP BY video_id) USING (video_id)""", kinds=_KIND_ROWS),
     "a08_classify_mood": with_tables("curve", """SELECT video_id, max(CASE WHEN rn = 1 THEN mood END) AS mood,
           round(least(greatest(max(CASE WHEN rn = 1 THEN score END), 0.0), 1.0), 3) AS mood_confidence,
           max(CASE WHEN rn = 2 THEN CASE WHEN score > 0.30 THEN mood ELSE '' END END) AS mood_secondary

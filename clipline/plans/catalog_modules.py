@@ -552,6 +552,12 @@ ORACLE = {
             WHEN total / (1920 * 1080) < 0.25 THEN '适中' ELSE '饱满' END AS subject_coverage_label,
           {", ".join(f"round(coalesce(z_{z} / total, 0.0), 3) AS zone_{z}" for z in GRID_ZONES)}
         FROM facts f LEFT JOIN grid g USING (frame)""", facts=_FACTS, grid=_GRID),
+    "v08_ocr_regions": """SELECT frame, word, text, confidence, CASE WHEN h / 1000.0 >= 0.2 THEN 'large' WHEN h / 1000.0 >= 0.05
+          THEN 'medium' ELSE 'small' END AS text_size_rank, confidence < 0.4 AS low_confidence,
+          row_number() OVER (PARTITION BY frame ORDER BY w * h DESC, word) - 1 AS region FROM (
+        SELECT l_orderkey AS frame, concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(epoch(l_shipdate) AS BIGINT)) AS word,
+          'w' || l_partkey AS text, CASE WHEN l_partkey % 5 = 0 OR l_partkey % 7 = 0 THEN 0.6 ELSE l_partkey % 100 / 100.0 END::DOUBLE
+            AS confidence, l_quantity AS w, l_linenumber * 40 AS h FROM lineitem WHERE l_partkey % 9 > 0)""",
     "v09_ocr_timestamps": with_tables("ev", """SELECT e.video_id, e.us, round(coalesce(m.t, 0.0), 6) AS t_s FROM ev e
         LEFT JOIN (SELECT video_id, k, min(t_s) AS t FROM ev WHERE event_type = 'click' GROUP BY video_id, k) m
         ON m.video_id = e.video_id AND m.k = e.k AND e.k % 6 <> 0"""),
@@ -667,6 +673,14 @@ ORACLE = {
             SELECT video_id, list_sort(list(value))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] AS lim FROM curve
             GROUP BY video_id) USING (video_id) GROUP BY video_id) USING (video_id)
         LEFT JOIN (SELECT video_id, count(*) AS b FROM beats GROUP BY video_id) USING (video_id) WHERE video_id % 2 = 1"""),
+    "m18_motion_trend": with_tables(_SLT, """SELECT video_id, seg_idx, CASE WHEN br > 1.1 THEN '变亮' WHEN br < 0.9 THEN '变暗'
+          ELSE '稳定' END AS brightness_trend, br AS brightness_ratio, CASE WHEN cc > 0.1 THEN '扩散' WHEN cc < -0.1 THEN '聚拢'
+          ELSE '稳定' END AS scale_trend, round(cc, 3) AS scale_value, CASE WHEN pf IS NULL THEN '起始段' WHEN mr > 1.5 THEN '动效增强'
+          WHEN mr < 0.6 THEN '动效减弱' ELSE '稳定' END AS movement_trend, mr AS movement_ratio FROM (
+        SELECT *, composition_changes AS cc, CASE WHEN n_frames >= 3 AND first_light > 0.01 THEN round(last_light / first_light, 3)
+            ELSE 1.0 END AS br, CASE WHEN flow_mean > 0.01 AND pf > 0.01 THEN round(flow_mean / pf, 3) ELSE 1.0 END AS mr FROM (
+          SELECT *, lag(flow_mean) OVER (PARTITION BY video_id ORDER BY seg_idx) AS pf FROM curves))""",
+        evi=_EVI, sl=_SL, curves=_CURVES),
     "m19_content_tags": with_tables("segments", """SELECT video_id, seg_idx, structure_type || '|推近|' || sub_type AS tags
         FROM segments"""),
     "m23_segment_curves": with_tables(_SLT, """SELECT * REPLACE (round(first_light, 6) AS first_light,

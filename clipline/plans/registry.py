@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["windows", "script", "curves", "patterns", "modules", "jobs"]
+FAMILIES = ["windows", "script", "curves", "patterns", "modules", "jobs", "streaming", "sources"]
 
 
 def _utc(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
