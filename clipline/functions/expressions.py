@@ -65,6 +65,11 @@ def ranked(scores: Sequence[tuple[str, Column]]) -> Column:
     return F.reverse(F.array_sort(F.array(*entries)))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fixed(x: Column, digits: int) -> Column:
     """Text with 1 to 3 decimals, rounded on the exact binary value (half to even).
 
@@ -72,14 +77,37 @@ def fixed(x: Column, digits: int) -> Column:
     which is stored slightly below, would become 406.0.
     """
     scale = 10**digits
-    size = F.abs(x)
-    whole = F.floor(size).cast("long")
-    scaled = ((size - whole) * F.lit(float(2**52))).cast("long") * F.lit(scale)
-    steps = F.shiftright(scaled, 52)
-    rest = scaled - F.shiftleft(steps, 52)
-    half = F.lit(2**51)
-    up = F.when((rest > half) | ((rest == half) & (steps % 2 == 1)), 1).otherwise(0)
-    total = whole * F.lit(scale) + steps + up
-    return F.concat(
-        F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.floor(total / F.lit(scale)).cast("long").cast("string"),
-        F.lit("."), F.lpad((total % F.lit(scale)).cast("string"), digits, "0"))
+
+    def text(total: Column, sign: Column) -> Column:
+        whole = (total - total % scale) / scale
+        return F.concat(sign, whole.cast("long").cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))
+
+    def rounded(p: Column) -> Column:
+        # p: whole part, scaled count of 2^-52 grains, and what is finer than that.
+        def settle(q: Column) -> Column:
+            half = F.lit(2**51)
+            up = F.when((q["rest"] > half) | ((q["rest"] == half) & (q["fine"] | (q["steps"] % 2 == 1))), 1).otherwise(0)
+            return bind(q["whole"] * scale + q["steps"] + up, lambda total: text(total, q["sign"]))
+
+        return bind(F.struct(
+            p["sign"].alias("sign"), p["whole"].alias("whole"), F.shiftright(p["scaled"], 52).alias("steps"),
+            p["scaled"].bitwiseAND(F.lit(2**52 - 1)).alias("rest"), p["fine"].alias("fine")), settle)
+
+    def split(v: Column) -> Column:
+        size = F.abs(v)
+
+        def grained(g: Column) -> Column:
+            finer = (g["grains"] - F.floor(g["grains"])) * F.lit(float(scale))
+            return rounded_struct(g, finer)
+
+        def rounded_struct(g: Column, finer: Column) -> Column:
+            return bind(F.struct(
+                g["sign"].alias("sign"), g["whole"].alias("whole"),
+                (F.floor(g["grains"]).cast("long") * scale + F.floor(finer).cast("long")).alias("scaled"),
+                (finer > F.floor(finer)).alias("fine")), rounded)
+
+        return bind(F.struct(
+            F.when(v < 0, F.lit("-")).otherwise(F.lit("")).alias("sign"), F.floor(size).cast("long").alias("whole"),
+            ((size - F.floor(size)) * F.lit(float(2**52))).alias("grains")), grained)
+
+    return bind(x, split)
