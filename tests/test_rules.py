@@ -91,7 +91,7 @@ def test_window_rules(spark, given, kind, confidence, evidence, sub_type):
 
 
 def test_equal_scores_keep_the_rule_order(spark):
-    s = _signals(spark, start_s=4.0, end_s=5.0, duration_s=4.5)
+    s = _signals(spark, start_s=4.0, end_s=5.0, duration_s=4.5, video_type="vlog")
     presets = load_presets(spark).withColumn("opening_pct", F.lit(1.0))
     assert W.best_type(W.score_windows(s, presets)).first().structure_type == "opening"
 
