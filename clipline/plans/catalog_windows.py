@@ -22,7 +22,7 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 def best_windows(spark: SparkSession, d: str) -> DataFrame:
     """Best segment type of every window that has one."""
     signals = W.window_signals(
-        _windows(spark, d), curve=A.curve(spark, d), cuts=A.boundaries(spark, d), texts=A.texts(spark, d),
+        _windows(spark, d), curve=cut(A.curve(spark, d)), cuts=A.boundaries(spark, d), texts=A.texts(spark, d),
         silence=A.silence(spark, d), speech=A.speech(spark, d))
     return W.best_type(W.score_windows(signals))
 

@@ -18,6 +18,7 @@ from clipline.operators import patterns as P
 from clipline.operators import script as S
 from clipline.operators import windows as W
 from clipline.operators.presets import load_presets, with_preset
+from clipline.session import cut
 
 
 def _one(spark, expression):
@@ -97,7 +98,7 @@ def test_equal_scores_keep_the_rule_order(spark):
 
 
 def test_fading_and_few_points(spark):
-    curve = spark.createDataFrame([(1, i, float(i), v) for i, v in enumerate([5.0] * 18 + [4.0, 1.0])],
+    curve = spark.createDataFrame([(1, i, float(i), v) for i, v in enumerate([5.0] * 95 + [4.0, 3.0, 2.0, 1.0, 0.5])],
                                   "video_id int, idx long, t_s double, value double")
     windows = W.sliding_windows(_videos(spark, 20.0))
     flags = {r.start_s: r.is_fading for r in W.fading_flag(curve, windows).collect()}
@@ -200,12 +201,13 @@ def test_edit_chain_stays_valid(spark):
     new = one.select("script_id", F.lit(None).cast("long").alias("pos"), F.lit("n").alias("id"), F.lit("title").alias("type"),
                      F.lit("t").alias("label"), F.lit(10.0).alias("start_time"), F.lit(2.0).alias("duration"),
                      F.lit(0).cast("long").alias("track_index"), F.lit(None).cast("string").alias("detail"))
-    m = S.add_modules(m, new)
+    m = cut(S.add_modules(m, new))
     m = S.duplicate(m, one.select("script_id", F.lit("n").alias("module_id"), F.lit(None).cast("string").alias("new_id"),
                                   F.lit(2.0).alias("time_offset")))
+    m = cut(m)
     assert [r.start_time for r in m.orderBy("pos").collect()] == [0.0, 3.0, 10.0, 12.0]
-    m = S.remove_modules(m, one.select("script_id", F.lit("a").alias("module_id")), compact=True)
-    m = S.compact(S.shift_all(m, 1.0))
+    m = cut(S.remove_modules(m, one.select("script_id", F.lit("a").alias("module_id")), compact=True))
+    m = cut(S.compact(S.shift_all(m, 1.0)))
     assert [r.start_time for r in m.orderBy("pos").collect()] == [0.0, 7.0, 9.0]
     scripts = one.withColumn("total_duration", F.lit(11.0))
     tracks = one.withColumn("index", F.lit(0))
@@ -254,7 +256,7 @@ def test_fill_gaps_covers_the_video(spark, small_chunks):
         t += rng.choice([1.0, 1.5])
     m = _scripts(spark, [(1, i, f"i{i}", "title", "", s, e - s, 0, None) for i, (s, e) in enumerate(spans)])
     total = spark.createDataFrame([(1, 80.0), (2, 5.0)], "script_id int, total_duration double")
-    got = M.fill_gaps(M.trim_overlaps(m), total).orderBy("script_id", "pos").collect()
+    got = M.fill_gaps(cut(M.trim_overlaps(m)), total).orderBy("script_id", "pos").collect()
     end = 0.0
     for i, r in enumerate(x for x in got if x.script_id == 1):
         assert r.pos == i and -0.0501 <= r.start_time - end <= 0.0501
