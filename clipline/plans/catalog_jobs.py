@@ -9,11 +9,14 @@ from clipline.operators import jobs as J
 from clipline.plans import adapters as A
 from clipline.plans.oracle import with_tables
 
-_NOW = F.lit("1998-08-03 00:00:00").cast("timestamp")
 _TEMPLATE_SQL = """CASE o_custkey % 4 WHEN 0 THEN 'product_review' WHEN 1 THEN 'talking_head' WHEN 2 THEN 'mashup'
     ELSE 'none' END"""
 
 
+def _now():
+    return F.lit("1998-08-03 00:00:00").cast("timestamp")
+
+
 def _composed(spark, d):
     m = A.modules(spark, d)
     k = F.col("pos") + F.col("script_id")
@@ -145,20 +148,20 @@ def _beating(spark, d):
     j = A.jobs(spark, d)
     back = (F.col("elapsed_ms") % 300).cast("int")
     return j.withColumn("heartbeat_at", F.when(F.col("job_id") % 7 > 0, F.timestamp_micros(
-        F.unix_micros(_NOW) - back.cast("long") * 1000000))).withColumn(
+        F.unix_micros(_now()) - back.cast("long") * 1000000))).withColumn(
             "namespace", F.when(F.col("type") == "1-URGENT", "export").otherwise("analysis"))
 
 
 def j03(spark, d):
-    return J.stale_jobs(_beating(spark, d), _NOW).select("job_id", F.round("stale_age_seconds", 3).alias("age_s"))
+    return J.stale_jobs(_beating(spark, d), _now()).select("job_id", F.round("stale_age_seconds", 3).alias("age_s"))
 
 
 def j04(spark, d):
-    return J.active_jobs(_beating(spark, d), _NOW).select("job_id")
+    return J.active_jobs(_beating(spark, d), _now()).select("job_id")
 
 
 def j05(spark, d):
-    return J.fail_open_jobs(A.jobs(spark, d), _NOW).select("job_id", "status")
+    return J.fail_open_jobs(A.jobs(spark, d), _now()).select("job_id", "status")
 
 
 def j06(spark, d):
@@ -166,7 +169,7 @@ def j06(spark, d):
 
 
 def j07(spark, d):
-    return J.expire_jobs(A.jobs(spark, d), 24 * 365, _NOW).select("job_id", "kind")
+    return J.expire_jobs(A.jobs(spark, d), 24 * 365, _now()).select("job_id", "kind")
 
 
 def _stage_events(spark, d):
@@ -191,7 +194,7 @@ def j10(spark, d):
 
 
 def j11(spark, d):
-    return J.recovery_report(_beating(spark, d), _NOW).withColumn("oldest_s", F.round("oldest_s", 3))
+    return J.recovery_report(_beating(spark, d), _now()).withColumn("oldest_s", F.round("oldest_s", 3))
 
 
 def j12(spark, d):

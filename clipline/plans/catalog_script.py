@@ -23,7 +23,10 @@ def _edits(spark, d, **columns):
         F.col("o_orderkey").alias("script_id"), *[c.alias(n) for n, c in columns.items()])
 
 
-_STATUS_ID = F.concat(F.lit("m"), (F.col("o_custkey") % 7 + 1).cast("string"))
+def _wanted_id():
+    return F.concat(F.lit("m"), (F.col("o_custkey") % 7 + 1).cast("string"))
+
+
 _ID_SQL = "'m' || (o_custkey % 7 + 1)"
 
 
@@ -45,28 +48,28 @@ def t03(spark, d):
 
 
 def t04(spark, d):
-    return _out(S.remove_modules(A.modules(spark, d), _edits(spark, d, module_id=_STATUS_ID), compact=True))
+    return _out(S.remove_modules(A.modules(spark, d), _edits(spark, d, module_id=_wanted_id()), compact=True))
 
 
 def t05(spark, d):
-    e = _edits(spark, d, module_id=_STATUS_ID, new_position=F.col("o_custkey") % 4)
+    e = _edits(spark, d, module_id=_wanted_id(), new_position=F.col("o_custkey") % 4)
     return _out(S.reorder(A.modules(spark, d), e))
 
 
 def t05b(spark, d):
-    e = _edits(spark, d, module_id=_STATUS_ID, to_track=(F.col("o_custkey") % 3).cast("long"),
+    e = _edits(spark, d, module_id=_wanted_id(), to_track=(F.col("o_custkey") % 3).cast("long"),
                insert_index=F.col("o_custkey") % 2)
     return _out(S.move_to_track(A.modules(spark, d), e))
 
 
 def t06(spark, d):
-    e = _edits(spark, d, module_id=_STATUS_ID, path=F.when(F.col("o_custkey") % 2 == 0, "duration").otherwise("type"),
+    e = _edits(spark, d, module_id=_wanted_id(), path=F.when(F.col("o_custkey") % 2 == 0, "duration").otherwise("type"),
                value=F.when(F.col("o_custkey") % 2 == 0, "9.5").otherwise("subtitle"))
     return _out(S.update_param(A.modules(spark, d), e))
 
 
 def t07(spark, d):
-    e = _edits(spark, d, module_id=_STATUS_ID, new_id=F.lit("copy"), time_offset=F.lit(-12.0))
+    e = _edits(spark, d, module_id=_wanted_id(), new_id=F.lit("copy"), time_offset=F.lit(-12.0))
     return _out(S.duplicate(A.modules(spark, d), e))
 
 
@@ -75,7 +78,7 @@ def t08(spark, d):
 
 
 def t09(spark, d):
-    e = _edits(spark, d, module_id=_STATUS_ID, offset=F.lit(-7.25))
+    e = _edits(spark, d, module_id=_wanted_id(), offset=F.lit(-7.25))
     return _out(S.shift_after(A.modules(spark, d), e))
 
 
