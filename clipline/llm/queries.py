@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipline.llm import dedup, mixing, packing, sharding, simhash, toxicity
+from clipline.llm import chat, dedup, mixing, packing, sharding, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   grown={s: 1.0 for s in range(9)})
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows by integer inner product of every fiftieth embedding."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources at 150 % of the words."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that says control strings of other templates, formatted, masked and read back."""
+    says = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = known.unionByName(spark.createDataFrame(says, "conv_id long, turn long, role string, text string"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.read_back(chat.format_conversations(rows, path), path)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of 1024 tokens."""
     return packing.pack_documents(
@@ -58,9 +72,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_mixing, op7_packing, op8_toxicity, op9_simhash, op10_exact_dedup, pipeline)}
+    f.__name__: f for f in (
+        op1_sharding, op2_topk, op3_mixing, op6_chat, op7_packing, op8_toxicity, op9_simhash, op10_exact_dedup,
+        pipeline)}
 
 ORACLE = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
