@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipline.llm import chat, dedup, mixing, packing, sharding, simhash, topk, toxicity
+from clipline.llm import chat, dedup, extract, licenses, mixing, packing, sharding, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that covers four fifths of a license template."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that says control strings of other templates, formatted, masked and read back."""
     says = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
@@ -73,8 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_topk, op3_mixing, op6_chat, op7_packing, op8_toxicity, op9_simhash, op10_exact_dedup,
-        pipeline)}
+        op1_sharding, op2_topk, op3_mixing, op4_extract, op5_licenses, op6_chat, op7_packing, op8_toxicity,
+        op9_simhash, op10_exact_dedup, pipeline)}
 
 ORACLE = {
     "op2_topk": """
