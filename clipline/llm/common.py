@@ -38,6 +38,29 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+class Memo(dict):
+    """Results of ``make`` by key, as a worker's memory: at most ``most`` of them.
+
+    Once full, further keys are made anew each time, so frequent keys (which
+    come early) stay; after many misses it starts over.
+    """
+
+    def __init__(self, make: Callable, most: int = 300_000):
+        super().__init__()
+        self.make, self.most, self.missed = make, most, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+            return value
+        self.missed += 1
+        if self.missed > 8 * self.most:
+            self.clear()
+            self.missed = 0
+        return value
+
+
 def keep_rows(docs: DataFrame, key: dict[str, Column], winners: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``key`` columns are in ``winners``, one row for each key.
 

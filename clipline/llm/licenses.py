@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipline.llm.common import map_batches, text_or_empty
+from clipline.llm.common import Memo, map_batches, text_or_empty
 
 # Statements and notices by which texts are commonly licensed.
 TEMPLATES = {
@@ -52,7 +52,6 @@ TEMPLATES = {
 
 _MARKS = ".,;:!?\"'()[]{}<>*#%$&-_/“”‘’«»"
 _TOKEN = re.compile(r"\S+")
-CACHED_WORDS = 200_000
 GRAM, WINDOW, BAND = 3, 2, 8
 
 
@@ -117,15 +116,7 @@ class Scanner:
         self.keys = np.array(sorted(places), dtype=np.int64)
         self.places = [places[int(k)] for k in self.keys]
         known = self.known
-
-        class Words(dict):
-            def __missing__(self, token: str) -> int:
-                if len(self) >= CACHED_WORDS:
-                    self.clear()
-                found = self[token] = known.get(token.strip(_MARKS), 0)
-                return found
-
-        self.words = Words()
+        self.words = Memo(lambda token: known.get(token.strip(_MARKS), 0))
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         n = max(0, len(ids) - self.gram + 1)

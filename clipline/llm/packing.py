@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,20 +16,8 @@ from pyspark.sql.window import Window
 from clipline.llm.common import map_batches, text_or_empty
 from clipline.session import cut
 
-#: Kept encodings of words in a worker, about 150 bytes each.
-CACHED_WORDS = 200_000
-#: White space on both sides of a blank: there a word-wise encoding could differ.
-_UNSURE = regex.compile(r"\s \s|\s \Z")
-
-
-class WordEncoder:
-    """Byte-pair ids of whole texts as little-endian 32-bit bytes.
-
-    The vocabulary's pattern never lets a piece reach over a single blank, so
-    texts are encoded word by word (a word with the blank before it) and words
-    are remembered. Texts with a blank beside other white space are encoded in
-    one go.
-    """
+class TextEncoder:
+    """Byte-pair ids of whole texts as little-endian 32-bit bytes; strings of special tokens are ordinary text."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -36,25 +25,12 @@ class WordEncoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        encode = self.whole
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHED_WORDS:
-                    self.clear()
-                found = self[word] = encode(" " + word)
-                return found
-
-        self.words = Words()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _UNSURE.search(text):
-            return self.whole(text)
-        first, *words = text.split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, words))
+        ids = array("I", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def cut_points(length: int, capacity: int) -> list[int]:
@@ -68,7 +44,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int =
                  doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of every row; null texts are empty."""
     def make():
-        encoder, end = WordEncoder(ranks_path, pattern), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = TextEncoder(ranks_path, pattern), np.array([end_id], dtype="<u4").tobytes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []

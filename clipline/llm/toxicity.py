@@ -12,12 +12,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipline.llm.common import map_batches, text_or_empty
+from clipline.llm.common import Memo, map_batches, text_or_empty
 
-#: Hash space of the terms, the lengths of word beginnings that are terms, and how much of a worker's memory words may take.
+#: Hash space of the terms and the lengths of word beginnings that are terms.
 SPACE_BITS = 20
 BEGINNINGS = (4, 5, 6)
-CACHED_WORDS = 200_000
 #: The bound of the labelled sample, and how often a term must occur in it.
 SAMPLE_ROWS = 16_000
 LEAST_DOCS = 3
@@ -30,33 +29,30 @@ _MARKS = ".,;:!?\"'()[]{}<>*#%$&-_/"
 _LETTERS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
-class Terms(dict):
-    """Hashed terms of white-space tokens, remembered: each word in it and the beginnings of longer words.
+class Terms:
+    """Hashed terms of texts: each word and the beginnings of longer words.
 
     With ``place`` (a row for each hash, 0 for none) only the terms that have a
-    row are given, by their rows.
+    row are given, by their rows. Tokens are remembered.
     """
 
-    def __init__(self, place: np.ndarray | None = None):
-        super().__init__()
+    def __init__(self, place: list[int] | None = None):
         self.place = place
+        self.known = Memo(self.of_token)
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+    def of_token(self, token: str) -> tuple[int, ...]:
         core = token if token.isalpha() else token.strip(_MARKS)
         found, digest, shift = [], zlib.crc32, 32 - SPACE_BITS
         for word in [core] if core.isalpha() else _LETTERS.findall(core):
             found.append(digest(word.encode("utf-8")) >> shift)
             found += [digest(word[:n].encode("utf-8"), n) >> shift for n in BEGINNINGS if len(word) > n]
         if self.place is not None:
-            found = [r for r in self.place[found].tolist() if r] if found else found
-        own = self[token] = tuple(found)
-        return own
+            return tuple(r for r in map(self.place.__getitem__, found) if r)
+        return tuple(found)
 
     def of(self, text: str) -> list[int]:
         """The different terms of a whole text, sorted."""
-        return sorted(set(chain.from_iterable(map(self.__getitem__, set(text.lower().split())))))
+        return sorted(set(chain.from_iterable(map(self.known.__getitem__, set(text.lower().split())))))
 
 
 @dataclass
@@ -193,7 +189,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     def make():
         own = shared.value
-        terms = Terms(own.place)
+        terms = Terms(own.place.tolist())
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = np.zeros(batch.num_rows)
