@@ -115,6 +115,11 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch:
             rows = np.concatenate([own[i] for i in chosen])
             logits, sums, owner = _logits(bias, weights, factors, rows, sizes)
             error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels[chosen]) / len(chosen)
+            total = float(error.sum())
+            seen_b += total ** 2
+            bias -= rate * total / seen_b ** 0.5
+            if not len(rows):
+                continue
             touched, at = np.unique(rows, return_inverse=True)
             slope = np.bincount(at, error[owner], len(touched)) + decay * weights[touched]
             seen_w[touched] += slope ** 2
@@ -125,9 +130,6 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch:
                 seen_v[k, touched] += pull ** 2
                 factors[k, touched] = v - rate * pull / np.sqrt(seen_v[k, touched])
             weights[touched] -= rate * slope / np.sqrt(seen_w[touched])
-            total = float(error.sum())
-            seen_b += total ** 2
-            bias -= rate * total / seen_b ** 0.5
     return Machine(bias, weights.astype(np.float64), factors, place)
 
 
