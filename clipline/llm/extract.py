@@ -264,7 +264,7 @@ def truth(nodes: list[Node]) -> np.ndarray:
     return out
 
 
-def train(pages: list[str], steps: int = 150, rate: float = 0.1, decay: float = 0.02) -> TreeModel:
+def train(pages: list[str], steps: int = 400, rate: float = 0.1, decay: float = 0.02) -> TreeModel:
     """Fits weights and potentials to labelled pages by gradient steps on their conditional likelihood.
 
     The gradient is what the labels show less what the marginals expect, for
@@ -359,7 +359,7 @@ def _content(rng: random.Random) -> str:
     """Headings, paragraphs and now and then a list, quotation, table, listing or figure."""
     out = [f"<h1>{_words(rng, 1, 9)}</h1>"] * (rng.random() < 0.7)
     for _ in range(rng.randint(1, 7)):
-        kind, said = rng.random(), _words(rng, 1, rng.choice([5, 30, 120]))
+        kind, said = rng.random(), _words(rng, 1, rng.choice([5, 30, 60, 120, 350]))
         if kind < 0.7:
             out.append(f"<p>{said}</p>")
         elif kind < 0.78:
@@ -403,7 +403,7 @@ def labelled_page(rng: random.Random) -> str:
     return "<html><body>" + "".join([*before, main, *after]) + "</body></html>"
 
 
-def default_model(pages: int = 600, seed: int = 11) -> TreeModel:
+def default_model(pages: int = 300, seed: int = 11) -> TreeModel:
     """Trained on ``pages`` labelled pages."""
     rng = random.Random(seed)
     return train([labelled_page(rng) for _ in range(pages)])

@@ -21,7 +21,7 @@ BEGINNINGS = (4, 5, 6)
 SAMPLE_ROWS = 16_000
 LEAST_DOCS = 3
 #: A term needs this likelihood ratio (G squared) against the share of label 1, so that chance terms get no weight.
-LEAST_EVIDENCE = 18.0
+LEAST_EVIDENCE = 24.0
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -92,7 +92,7 @@ def evidence(hits: np.ndarray, counts: np.ndarray, positive: int, total: int) ->
 
 
 def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.05,
-          decay: float = 2e-4, seed: int = 3) -> Machine:
+          decay: float = 2e-4, factor_decay: float = 1e-3, seed: int = 3) -> Machine:
     """Fits by adaptive gradient steps on the logistic loss. Terms without evidence get no weight."""
     counts = np.bincount(np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << SPACE_BITS)
     positive = [t for t, y in zip(terms, labels) if y > 0]
@@ -126,7 +126,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch:
             for k in range(FACTORS):
                 v = factors[k, touched]
                 pull = np.bincount(at, error[owner] * sums[owner, k], len(touched))
-                pull -= v * np.bincount(at, error[owner], len(touched)) - decay * v
+                pull -= v * np.bincount(at, error[owner], len(touched)) - factor_decay * v
                 seen_v[k, touched] += pull ** 2
                 factors[k, touched] = v - rate * pull / np.sqrt(seen_v[k, touched])
             weights[touched] -= rate * slope / np.sqrt(seen_w[touched])
@@ -184,10 +184,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     score of a text without terms. Rows are scored one by one, repeated rows
     alike; extra columns are no inputs; an empty table gives no rows.
     """
-    model = machine or fit(docs, labels, doc_id, text, label)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the hash space
     keep = [doc_id] if keep is None else keep
-    types = dict(docs.dtypes)
+    names, scored = _scored(docs, machine or fit(docs, labels, doc_id, text, label), text, keep)
+    columns = [F.col(n).alias(k) for n, k in zip(names, keep)]
+    flagged = (F.col("score") >= threshold).cast("int").alias("predicted")
+    if keep == [doc_id]:
+        columns.append(held_out(F.col("c0")).alias("held_out"))
+    return scored.select(*columns, F.col("score"), flagged)
+
+
+def _scored(docs: DataFrame, model: Machine, text: str, keep: list[str]) -> tuple[list[str], DataFrame]:
+    """The columns ``keep`` under the names given back, and the score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the hash space
+    types, names = dict(docs.dtypes), [f"c{i}" for i in range(len(keep))]
 
     def make():
         own = shared.value
@@ -198,28 +207,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
             for low in range(0, batch.num_rows, 256):
                 part = batch.column(0).slice(low, 256)
                 scores[low:low + 256] = own.scores([terms.of(x.as_py() or "") for x in part])
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*keep, "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*names, "score"])
         return work
 
-    names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(F.col(text).alias("_text"), *[F.col(k).alias(n) for k, n in zip(keep, names)])
     schema = ", ".join([*[f"{n} {types[k]}" for n, k in zip(names, keep)], "score double"])
-    scored = map_batches(rows, lambda: _renamed(make(), names), schema)
-    columns = [F.col(n).alias(k) for n, k in zip(names, keep)]
-    flagged = (F.col("score") >= threshold).cast("int").alias("predicted")
-    if keep == [doc_id]:
-        columns.append(held_out(F.col("c0")).alias("held_out"))
-    return scored.select(*columns, F.col("score"), flagged)
-
-
-def _renamed(work, names):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = work(batch)
-        return pa.RecordBatch.from_arrays(out.columns, [*names, "score"])
-    return run
+    return names, map_batches(rows, make, schema)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+               threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns kept."""
-    scored = score_documents(docs, labels, text=text, keep=docs.columns, **options)
-    return scored.filter("predicted = 0").select(docs.columns)
+    names, scored = _scored(docs, fit(docs, labels, doc_id, text, label), text, docs.columns)
+    return scored.filter(F.col("score") < threshold).select(
+        *[F.col(n).alias(k) for n, k in zip(names, docs.columns)])
