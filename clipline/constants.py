@@ -56,9 +56,8 @@ ANIMALS = ["bird", "cat", "dog", "horse", "sheep", "cow", "elephant", "bear", "z
 GRID_ZONES = [
     "top_left", "top", "top_right", "left", "center", "right", "bottom_left", "bottom", "bottom_right"]
 
-# Colour zones in priority order, and their names in stored maps.
+# Colour zones in priority order.
 COLOR_ZONES = ["white", "dark", "warm", "cool", "neutral"]
-COLOR_ZONE_NAMES = {"white": "白色/浅灰", "dark": "暗色", "warm": "暖色", "cool": "冷色", "neutral": "中性"}
 
 # Music and mood labels in rule order.
 MUSIC_TYPES = ["激昂/紧张", "轻松/愉快", "舒缓/宁静", "悲伤/沉郁", "电子/科技", "节奏/打击"]
@@ -113,8 +112,6 @@ TEMPLATES = {
         ("情绪堆叠", "emotion_build", 4.0, False), ("高潮爆发", "climax", 4.0, True), ("CTA", "cta", 2.0, False)],
     "none": [],
 }
-TEMPLATE_LABELS = {
-    "product_review": "产品测评", "shopping_live": "带货", "talking_head": "口播", "mashup": "混剪", "none": "无预设"}
 
 # Words that fit a module to a template slot.
 SLOT_WORDS = {

@@ -47,10 +47,6 @@ def when_chain(cases: Sequence[tuple[Column, object]], default: object) -> Colum
     return last if column is None else column.otherwise(last)
 
 
-def is_in(column: Column, values: Sequence[str]) -> Column:
-    return column.isin(*values)
-
-
 def first_best(scores: Sequence[tuple[str, Column]]) -> Column:
     """Struct(score, label) of the highest score; ties go to the first label."""
     entries = [F.struct(s.alias("score"), F.lit(-i).alias("rank"), F.lit(n).alias("label"))

@@ -144,7 +144,8 @@ def autocorr_peak(curve: DataFrame, *, whole_below: int = 1 << 20) -> DataFrame:
 
     Curves shorter than ``whole_below`` points are transformed in one piece.
     A longer one is split as a square of side about sqrt(2 n) and transformed
-    along columns and then rows, so a task holds one side of the square.
+    along columns and then rows, so a task holds one side of the square. Either
+    way a curve with no lag to search has regularity 0.
     """
     key = curve.schema["video_id"].dataType
     sizes = curve.groupBy("video_id").agg(
@@ -180,7 +181,7 @@ def autocorr_peak(curve: DataFrame, *, whole_below: int = 1 << 20) -> DataFrame:
     flat = sizes.filter((F.col("_n") >= whole_below) & (F.col("_max") == 0)).select(
         "video_id", F.lit(0.0).alias("pulse_regularity"))
     return result.unionByName(found.select(
-        "video_id", (F.col("_side") / (F.col("_top") + tiny)).alias("pulse_regularity"))).unionByName(flat)
+        "video_id", F.coalesce(F.col("_side") / (F.col("_top") + tiny), F.lit(0.0)).alias("pulse_regularity"))).unionByName(flat)
 
 
 # -- classifiers ----------------------------------------------------------

@@ -144,7 +144,7 @@ def merge_blueprint(scripts: DataFrame, modules: DataFrame, slots: DataFrame | N
     template ``none`` passes every module through at its own time.
     """
     slots = template_slots(scripts.sparkSession) if slots is None else slots
-    most = max([len(s) for s in TEMPLATES.values()] + [1])
+    most = slots.groupBy("template").count().agg(F.max("count")).first()[0] or 1  # slots are a small rule table
     known = scripts.join(F.broadcast(slots.select("template").distinct().union(
         scripts.sparkSession.createDataFrame([("none",)], "template string")).distinct()), "template", "left_semi")
     wanted = known.join(F.broadcast(slots), "template").select(

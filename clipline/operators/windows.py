@@ -379,5 +379,5 @@ def normalise_boundaries(raw: DataFrame, json_col: str = "boundary") -> DataFram
     fields = F.from_json(text, "timestamp double, start double")
     t = F.coalesce(F.expr(f"try_cast({json_col} as double)"), fields["timestamp"], fields["start"],
                    F.when(F.trim(text).startswith("{"), F.lit(0.0)))
-    return raw.select("video_id", t.alias("t_s")).filter(F.col("t_s").isNotNull()).orderBy("video_id", "t_s")
+    return raw.select("video_id", t.alias("t_s")).filter(F.col("t_s").isNotNull())
 

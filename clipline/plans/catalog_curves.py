@@ -377,8 +377,8 @@ ORACLE = {
     "a05_membership": with_tables("ev", f"""SELECT video_id, round(max({_ramp('value', 20.0, 90.0)}), 6) AS r,
         round(avg({_tri('value', 50.0, 25.0)}), 6) AS t, round(avg({_gauss('value', 50.0, 10.0)}), 6) AS g
         FROM ev GROUP BY video_id"""),
-    "a07_autocorr_peak": with_tables("ev", """SELECT video_id, round(max(CASE WHEN lag >= 20 AND lag < (n + 1) // 2 - 20 THEN c END)
-          / (max(CASE WHEN lag = 0 THEN c END) + 1e-10), 6) AS pulse_regularity FROM (
+    "a07_autocorr_peak": with_tables("ev", """SELECT video_id, coalesce(round(max(CASE WHEN lag >= 20 AND lag < (n + 1) // 2 - 20
+          THEN c END) / (max(CASE WHEN lag = 0 THEN c END) + 1e-10), 6), 0.0) AS pulse_regularity FROM (
         SELECT a.video_id, b.idx - a.idx AS lag, max(a.n) AS n, sum(a.x * b.x) AS c FROM c a JOIN c b
           ON a.video_id = b.video_id AND b.idx >= a.idx AND b.idx < a.idx + (a.n + 1) // 2 - 20
         GROUP BY a.video_id, b.idx - a.idx) GROUP BY video_id""",

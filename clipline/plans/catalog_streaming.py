@@ -111,7 +111,9 @@ ORACLE = {
         'progress' THEN us END) OVER (PARTITION BY user_id) AS stop FROM (SELECT *, {_KIND} AS kind FROM ({_E})))
         WHERE stop IS NULL OR us <= stop""",
     "x06_replay": f"""SELECT o_custkey AS video_id, 0::BIGINT AS origin, o_orderkey AS seq, 'segment' AS kind FROM orders
-        UNION ALL SELECT user_id, 1, event_id, {_KIND} FROM ({_E})""",
+        UNION ALL SELECT user_id, 1, event_id, {_KIND} FROM ({_E})
+        UNION ALL SELECT o_custkey, 2, count(*), 'done' FROM orders
+          WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY o_custkey""",
     "x07_live_windows": with_tables("ev", """SELECT video_id, start_ms, count(*) AS cuts FROM (
         SELECT video_id, unnest([b * 500, b * 500 - 500]) AS start_ms FROM (
           SELECT video_id, CAST(floor(trunc(t_s * 1e6) / 500000) AS BIGINT) AS b FROM ev WHERE event_type = 'click'))

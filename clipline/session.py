@@ -32,12 +32,14 @@ def build_session(app: str = "clipline", master: str | None = None, **conf: str)
 def work_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is made.
+    Where none is named, a session on one machine gets a temporary folder; on
+    a cluster executors could not share that, so it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="clipline-")

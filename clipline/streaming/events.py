@@ -42,13 +42,16 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, name: str, mode: str, prepare=None) -> DataFrame:
+def run_batches(stream: DataFrame, name: str, mode: str, prepare=None, first: DataFrame | None = None) -> DataFrame:
     """Run a stream with one folder per micro-batch (``batch``), safe to repeat after a failure.
 
-    ``prepare(rows, batch_id)`` may change what a batch writes.
+    ``prepare(rows, batch_id)`` may change what a batch writes; ``first`` is
+    written as batch -1 before the stream starts.
     """
     spark = stream.sparkSession
     out = scratch(spark, name)
+    if first is not None:
+        first.write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows = prepare(rows, batch_id) if prepare else rows

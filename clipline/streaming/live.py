@@ -21,9 +21,13 @@ def dedupe_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """Rows of a key, sorted inside each Arrow batch (never the whole key at once)."""
-    for part in rows:
-        yield from part.sort_values(["ts", "seq"]).itertuples(index=False)
+    """The rows of a key in this micro-batch by time, however many Arrow batches they come in.
+
+    Holds one key's rows of one micro-batch, which the source's trigger limits.
+    """
+    parts = list(rows)
+    if parts:
+        yield from pd.concat(parts).sort_values(["ts", "seq"]).itertuples(index=False)
 
 
 class _Throttle(StatefulProcessor):
@@ -143,17 +147,23 @@ def until_terminal(events: DataFrame) -> DataFrame:
 def replay(history: DataFrame, live: DataFrame, name: str = "replay") -> DataFrame:
     """History rows (``origin`` 0) followed by live events (``origin`` 1), keyed by video.
 
-    Both have (video_id, seq, kind).  History goes into the first micro-batch;
-    ordering by (origin, seq) gives the order of delivery.
+    Both have (video_id, seq, kind).  History is written before the stream
+    starts; ordering by (origin, seq) gives the order of delivery.  A video
+    whose history no live event follows ends with a ``done`` row (``origin`` 2)
+    whose ``seq`` is the number of its history rows.
     """
     columns = ["video_id", "seq", "kind"]
     old = history.select(*columns).withColumn("origin", F.lit(0))
 
     def prepare(rows: DataFrame, batch_id: int) -> DataFrame:
-        rows = rows.select(*columns).withColumn("origin", F.lit(1))
-        return old.unionByName(rows) if batch_id == 0 else rows
-
-    return run_batches(live, name, "append", prepare)
+        return rows.select(*columns).withColumn("origin", F.lit(1))
+
+    sent = run_batches(live, name, "append", prepare, first=old).select(*columns, "origin")
+    followed = sent.filter("origin = 1").select("video_id").distinct()
+    done = (sent.filter("origin = 0").groupBy("video_id").agg(F.count(F.lit(1)).alias("seq"))
+            .join(followed, "video_id", "left_anti")
+            .select("video_id", "seq", F.lit("done").alias("kind"), F.lit(2).alias("origin")))
+    return sent.unionByName(done)
 
 
 def live_windows(points: DataFrame, size: str = "1 second", step: str = "500 milliseconds",
