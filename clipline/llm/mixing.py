@@ -69,7 +69,11 @@ def pivot(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tuple[np.n
 
 
 def _step(last: bool, seed: int):
-    """Rounds one group of fractional rows; the one left over keeps its part unless this is the root."""
+    """Rounds one group of fractional rows; the one left over keeps its part unless this is the root.
+
+    The root draws it and makes good what it gains or loses by turning settled rows of the group, the longest that
+    fit first, so a source misses its target by less than its shorter documents.
+    """
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable")
         group = group.reset_index(drop=True)
@@ -77,8 +81,11 @@ def _step(last: bool, seed: int):
         draws = rng.random(len(group) + 1)
         parts, left = pivot(group["size"].to_numpy(), group["part"].to_numpy(), draws)
         if left >= 0 and last:
-            parts[left] = float(draws[-1] < parts[left])
-            left = -1
+            full, sizes = float(draws[-1] < parts[left]), group["size"].to_numpy()
+            rest, parts[left] = abs(full - parts[left]) * sizes[left], full
+            for j in range(len(parts)):
+                if j != left and parts[j] == full and sizes[j] <= rest:
+                    parts[j], rest = 1.0 - full, rest - sizes[j]
         group["part"] = parts
         return group
     return run
@@ -94,7 +101,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     rounding that keeps the source's words. Leaves of about ``group_rows``
     rows (by a hash of the id, so a source of any size is split) round on their
     own and each hands one residual up a tree of the same fan-in; the root
-    draws the last one. Draws come from hashes of the ids, so reruns agree.
+    settles the last one. Draws come from hashes of the ids, so reruns agree.
 
     Null texts have size 0; a null source is a source of its own, sorted last.
     Rows of size 0 carry no words and draw by themselves. Repeated rows are
