@@ -221,9 +221,9 @@ def order_statistics(
     lies.  A mergeable sketch first brackets each rank; only the values inside
     the bracket are counted and ordered.  The bracket of a key with at most
     ``exact_below`` values is the whole key, for larger keys it spans four
-    sketch errors (``n / exact_below`` each) around the fraction, which is
-    sure to hold the rank.  Equal values are counted before anything is
-    ordered, so heavy ties cost nothing.
+    sketch errors (``n / exact_below`` each) around the fraction.  A rank that
+    still lies outside its bracket is an error, never a missing row.  Equal
+    values are counted before anything is ordered, so heavy ties cost nothing.
     """
     keys = list(keys)
     if not keys:
@@ -255,9 +255,11 @@ def order_statistics(
         F.when(~below, F.col("_v")).alias("_at")).agg(F.sum("_m").alias("_m"))
     by_value = Window.partitionBy(*keys, "_pick").orderBy(F.col("_at").asc_nulls_first())
     seen = folded.withColumn("_seen", F.sum("_m").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = seen.filter((F.col("_seen") > F.col("_rank")) & (F.col("_seen") - F.col("_m") <= F.col("_rank")))
-    return hit.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_pick") == name, F.col("_at"))).alias(name) for name in picks])
+    hit = (F.col("_seen") > F.col("_rank")) & (F.col("_seen") - F.col("_m") <= F.col("_rank"))
+    found = seen.groupBy(*keys).agg(
+        *[F.max(F.when(hit & (F.col("_pick") == name), F.col("_at"))).alias(name) for name in picks])
+    missed = F.raise_error(F.lit("a rank lies outside its bracket; raise exact_below"))
+    return found.select(*keys, *[F.coalesce(F.col(name), missed).alias(name) for name in picks])
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float],

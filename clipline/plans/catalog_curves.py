@@ -402,7 +402,7 @@ ORACLE = {
         END) * 100.0, 6) AS bpm FROM curve GROUP BY video_id"""),
     "a10_coalesce_signals": with_tables("curve", """SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 'rms' ELSE 'diff' END
         AS channel, count(*) AS n FROM curve GROUP BY video_id"""),
-    "a11_full_text": """SELECT conv_id AS video_id, 0::BIGINT AS part, string_agg(text, '' ORDER BY turn) AS full_text
+    "a11_full_text": """SELECT conv_id AS video_id, string_agg(text, '' ORDER BY turn) AS full_text
         FROM conversations GROUP BY conv_id""",
     "a12_slice_curve": with_tables("segments videos totals", """SELECT b.video_id, b.seg_idx, c.idx,
           c.idx - b.i_from AS slice_pos FROM bounds b JOIN curve c

@@ -79,9 +79,14 @@ def x07(spark, d):
 
 
 def x08(spark, d):
-    rows = _media_stream(spark, d).select("video_id", "ts", F.col("t_s").alias("start_s"), "end_s", F.col("kind").alias("structure_type"))
+    number = F.pmod(F.floor("t_s"), F.lit(7))
+    rows = _media_stream(spark, d).select(
+        "video_id", "ts", F.col("t_s").alias("start_s"), "end_s", F.col("kind").alias("structure_type"),
+        F.concat(F.lit("s"), (number % 3).cast("string")).alias("sub_type"), (number / 10).alias("confidence"),
+        F.array(F.concat(F.lit("e"), number.cast("string")), F.col("payload")).alias("evidence"))
     out = E.run_append(L.live_merge(rows), "merge")
-    return out.select("video_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "structure_type")
+    return out.select("video_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "structure_type",
+                      "sub_type", "confidence", F.array_join("evidence", "|").alias("evidence"))
 
 
 QUERIES = {
@@ -120,15 +125,20 @@ ORACLE = {
         WHERE start_ms + 1000 <= (SELECT CAST(floor(trunc(max(t_s) * 1e6) / 1000) AS BIGINT) - 5000 FROM ev
           WHERE event_type = 'click') GROUP BY video_id, start_ms"""),
     "x08_live_merge": with_tables("ev", """SELECT video_id, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s,
-          structure_type FROM (
-        SELECT video_id, min(t_s) AS start_s, arg_max(end_s, t_s) AS end_s, min(kind) AS structure_type,
-          run = max(run) OVER (PARTITION BY video_id) AS is_last FROM (
+          structure_type, sub_type, confidence, evidence FROM (
+        SELECT video_id, run, min(t_s) AS start_s, arg_max(end_s, t_s) AS end_s, min(kind) AS structure_type,
+          arg_min('s' || nr % 3, t_s) AS sub_type, max(nr / 10) AS confidence,
+          run = max(run) OVER (PARTITION BY video_id) AS is_last FROM runs GROUP BY video_id, run) JOIN (
+        SELECT video_id, run, string_agg(e, '|' ORDER BY t0, i) AS evidence FROM (
+          SELECT video_id, run, e, min(t_s) AS t0, arg_min(i, t_s) AS i FROM (
+            SELECT video_id, run, t_s, unnest(['e' || nr, event_type]) AS e, unnest([0, 1]) AS i FROM runs)
+          GROUP BY video_id, run, e) GROUP BY video_id, run) USING (video_id, run)
+        WHERE NOT is_last OR end_s + CASE structure_type WHEN 'highlight' THEN 0.8 ELSE 1.5 END
+          <= (SELECT max(t_s) FROM ev)""", runs="""
           SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY t_s) AS run FROM (
             SELECT *, CASE WHEN lag(kind) OVER w = kind AND abs(lag(end_s) OVER w - t_s) < CASE kind WHEN 'highlight'
               THEN 0.8 ELSE 1.5 END THEN 0 ELSE 1 END AS brk FROM (
-              SELECT video_id, t_s, t_s + value / 20 AS end_s, CASE event_type WHEN 'view' THEN 'highlight'
-                WHEN 'click' THEN 'transition' ELSE 'effect' END AS kind FROM ev)
-            WINDOW w AS (PARTITION BY video_id ORDER BY t_s))) GROUP BY video_id, run)
-        WHERE NOT is_last OR end_s + CASE structure_type WHEN 'highlight' THEN 0.8 ELSE 1.5 END
-          <= (SELECT max(t_s) FROM ev)"""),
+              SELECT video_id, t_s, t_s + value / 20 AS end_s, event_type, CAST(floor(t_s) AS BIGINT) % 7 AS nr,
+                CASE event_type WHEN 'view' THEN 'highlight' WHEN 'click' THEN 'transition' ELSE 'effect' END AS kind FROM ev)
+            WINDOW w AS (PARTITION BY video_id ORDER BY t_s))"""),
 }

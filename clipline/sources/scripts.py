@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["script_id"]
-MODULES_PER_PART = 10_000
 
 MODULE_SCHEMA = (
     "id string, type string, label string, start_time double, duration double, track_index bigint, "
@@ -14,7 +13,7 @@ MODULE_SCHEMA = (
     "params struct<text_content:string,font_size:int,font_color:string,position:struct<x:double,y:double>,"
     "animation:string,volume:double,transition_type:string>, extra_params map<string,string>, detail string")
 SCRIPT_SCHEMA = (
-    "script_id string, part int, version string, metadata struct<title:string,description:string,author:string,"
+    "script_id string, version string, metadata struct<title:string,description:string,author:string,"
     "created_at:timestamp,total_duration:double,source_video_id:string,fps:double,"
     "resolution:struct<width:int,height:int>,tags:array<string>>, modules array<struct<"
     + ",".join(f.strip().replace(" ", ":", 1) for f in
@@ -24,42 +23,56 @@ SCRIPT_SCHEMA = (
                 "animation:string,volume:double,transition_type:string>",
                 "extra_params map<string,string>", "detail string"])
     + ">>, tracks array<struct<index:bigint,name:string,type:string,muted:boolean,locked:boolean>>")
+LINE_SCHEMA = f"{SCRIPT_SCHEMA}, pos bigint, module struct<{SCRIPT_SCHEMA.split('modules array<struct<')[1].split('>>, tracks')[0]}>"
 
 
 def script_documents(scripts: DataFrame, modules: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
     """One document per script: version, metadata, modules in order and tracks.
 
-    A script with more than ``MODULES_PER_PART`` modules continues in further
-    parts that hold only modules, so no row grows without bound.
+    The interchange form, in which a whole script is one value; scripts of any
+    size are stored as lines (``script_lines``).
     """
-    fields = [c for c in modules.columns if c not in ("script_id", "pos")]
-    lists = modules.withColumn("part", F.floor(F.col("pos") / MODULES_PER_PART).cast("int")).groupBy("script_id", "part").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("m")))), lambda s: s["m"])
+    lists = modules.groupBy("script_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", _module(modules).alias("m")))), lambda s: s["m"])
         .alias("modules"))
+    return _heads(scripts, tracks).join(lists, KEY, "left")
+
+
+def _module(modules: DataFrame) -> Column:
+    return F.struct(*[c for c in modules.columns if c not in ("script_id", "pos")])
+
+
+def _heads(scripts: DataFrame, tracks: DataFrame | None) -> DataFrame:
     meta = [c for c in scripts.columns if c not in ("script_id", "version")]
-    heads = scripts.select("script_id", F.lit(0).alias("part"), "version", F.struct(*meta).alias("metadata"))
+    heads = scripts.select("script_id", "version", F.struct(*meta).alias("metadata"))
     if tracks is not None:
         columns = [c for c in tracks.columns if c != "script_id"]
         # Tracks of a script are few.
         own = tracks.groupBy("script_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("tracks"))
         heads = heads.join(own, KEY, "left")
-    return heads.join(lists, ["script_id", "part"], "full")
+    return heads
+
+
+def script_lines(scripts: DataFrame, modules: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """A head line (version, metadata, tracks) per script and a line (pos, module) per module, whatever the size."""
+    lines = modules.select("script_id", F.col("pos").cast("long").alias("pos"), _module(modules).alias("module"))
+    return _heads(scripts, tracks).unionByName(lines, allowMissingColumns=True)
 
 
 def write_scripts(scripts: DataFrame, modules: DataFrame, tracks: DataFrame | None, path: str) -> None:
-    """Write script documents as JSON lines."""
-    script_documents(scripts, modules, tracks).write.mode("overwrite").json(path)
+    """Write scripts as JSON lines, see ``script_lines``."""
+    script_lines(scripts, modules, tracks).write.mode("overwrite").json(path)
 
 
 def read_scripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scripts, modules and tracks of JSON script documents (fixed schema, nothing inferred)."""
-    docs = spark.read.schema(SCRIPT_SCHEMA).json(path)
-    first = F.coalesce("part", F.lit(0)) == 0
-    scripts = docs.filter(first).select("script_id", "version", "metadata.*")
-    rows = docs.select("script_id", F.coalesce("part", F.lit(0)).alias("_part"), F.posexplode("modules").alias("_i", "_m"))
-    modules = rows.select("script_id", (F.col("_part").cast("long") * MODULES_PER_PART + F.col("_i")).alias("pos"), "_m.*")
-    tracks = docs.filter(first).select("script_id", F.explode("tracks").alias("_t")).select("script_id", "_t.*")
-    return scripts, modules, tracks
+    """Scripts, modules and tracks of JSON lines or whole documents (fixed schema, nothing inferred)."""
+    lines = spark.read.schema(LINE_SCHEMA).json(path)
+    heads = lines.filter(F.col("module").isNull())
+    listed = F.transform("modules", lambda m, i: F.struct(i.cast("long").alias("pos"), m.alias("module")))
+    own = F.when(F.col("module").isNull(), listed).otherwise(F.array(F.struct("pos", "module")))
+    modules = lines.select("script_id", F.explode(own).alias("_m")).select("script_id", "_m.pos", "_m.module.*")
+    tracks = heads.select("script_id", F.explode("tracks").alias("_t")).select("script_id", "_t.*")
+    return heads.select("script_id", "version", "metadata.*"), modules, tracks
 
 
 # -- text exports ---------------------------------------------------------

@@ -11,26 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save_stage(artifact: DataFrame, root: str, stage: str) -> str:
+def save_stage(artifact: DataFrame, root: str, stage: str, videos: DataFrame | None = None) -> str:
     """Append the artifact of a stage as one run; the newest run of a video replaces its older ones.
 
-    Runs are folders of Parquet files, so saving never rewrites other videos
-    and a repeated save after a failure does no harm.
+    ``videos`` names the videos the run covered, so that one without rows loses
+    its older rows too; without it these are the videos of the artifact. The
+    rows are written first and the list of videos after them: a run that failed
+    in between does not exist for readers. Saving never rewrites other videos.
     """
-    run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    artifact.write.mode("overwrite").parquet(os.path.join(root, f"stage={stage}", f"run={run}"))
+    base, run = os.path.join(root, f"stage={stage}"), f"r{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows = os.path.join(base, "rows", f"run={run}")
+    artifact.write.mode("overwrite").parquet(rows)
+    covered = artifact.sparkSession.read.parquet(rows) if videos is None else videos
+    covered.select("video_id").distinct().write.mode("overwrite").parquet(os.path.join(base, "videos", f"run={run}"))
     return run
 
 
 def load_stage(spark: SparkSession, root: str, stage: str) -> DataFrame | None:
-    """Newest artifact rows of every video, or None when the stage was never saved."""
-    path = os.path.join(root, f"stage={stage}")
+    """Newest artifact rows of every video, or None when the stage was never saved.
+
+    Reads the runs that are still the newest of some video; their names, one
+    per save, reach the driver.
+    """
+    base = os.path.join(root, f"stage={stage}")
     try:
-        rows = spark.read.option("basePath", path).parquet(path)
+        covered = spark.read.parquet(os.path.join(base, "videos"))
     except AnalysisException:
         return None
-    newest = rows.groupBy("video_id").agg(F.max("run").alias("run"))
-    return rows.join(newest, ["video_id", "run"], "left_semi").drop("run")
+    newest = covered.groupBy("video_id").agg(F.max("run").alias("run"))
+    live = sorted(r["run"] for r in newest.select("run").distinct().collect())
+    if not live:
+        return None
+    rows = os.path.join(base, "rows")
+    found = spark.read.option("basePath", rows).parquet(*[os.path.join(rows, f"run={r}") for r in live])
+    return found.join(newest, ["video_id", "run"], "left_semi").drop("run")
 
 
 _KNOWN = ("status", "type", "input_path", "progress", "result", "error", "created_at", "updated_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from clipline.constants import STALE_AFTER_S
 from clipline.streaming.events import run_batches, use_rocksdb
 
 TERMINAL = ("done", "error")
+#: Event time after which the state of a silent key is dropped.
+FORGET_AFTER_S = 90 * 86_400.0
 
 
 def dedupe_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -30,34 +33,54 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         yield from pd.concat(parts).sort_values(["ts", "seq"]).itertuples(index=False)
 
 
-class _Throttle(StatefulProcessor):
-    def __init__(self, every: float):
-        self.every = every
+class _Forgetful(StatefulProcessor):
+    """Drops the one value of a key once the watermark is ``forget_after`` seconds past its last change."""
+
+    def remember(self, at: pd.Timestamp, value: tuple) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((at.timestamp() + self.forget_after) * 1000))
+        self.kept.update(value)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _Throttle(_Forgetful):
+    def __init__(self, every: float, forget_after: float):
+        self.every, self.forget_after = every, forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp")
+        self.handle, self.kept = handle, handle.getValueState("last", "ts timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
+        last = pd.Timestamp(self.kept.get()[0]) if self.kept.exists() else None
         kept = []
         for row in _in_order(rows):
             if last is None or (row.ts - last).total_seconds() >= self.every:
                 last = row.ts
                 kept.append((key[0], row.ts, row.seq, min(max(row.progress, 0.0), 1.0)))
         if kept:
-            self.last.update((last.to_pydatetime(),))
+            self.remember(last, (last.to_pydatetime(),))
         yield pd.DataFrame(kept, columns=["job_id", "ts", "seq", "progress"])
 
-    def close(self) -> None:
-        pass
 
+def throttle(events: DataFrame, every: float = 2.0, delay: str = "10 minutes",
+             forget_after: float = FORGET_AFTER_S) -> DataFrame:
+    """At most one progress row per job and ``every`` seconds, the value clamped to 0..1.
 
-def throttle(events: DataFrame, every: float = 2.0) -> DataFrame:
-    """At most one progress row per job and ``every`` seconds, the value clamped to 0..1."""
+    Rows later than ``delay`` are dropped. The state of a job goes when none of its rows came through for
+    ``forget_after`` seconds of event time.
+    """
     use_rocksdb(events.sparkSession)
-    rows = events.filter(F.col("progress").isNotNull()).select("job_id", "ts", "seq", "progress")
+    rows = events.filter(F.col("progress").isNotNull()).select("job_id", "ts", "seq", "progress").withWatermark("ts", delay)
     return rows.groupBy("job_id").transformWithStateInPandas(
-        _Throttle(every), "job_id bigint, ts timestamp, seq bigint, progress double", "Append", "None")
+        _Throttle(every, forget_after), "job_id bigint, ts timestamp, seq bigint, progress double", "Append",
+        "EventTime")
 
 
 class _Expire(StatefulProcessor):
@@ -118,30 +141,34 @@ def latest_of_batches(written: DataFrame) -> DataFrame:
                                          F.max_by("ts", "batch").alias("ts"))
 
 
-class _UntilTerminal(StatefulProcessor):
+class _UntilTerminal(_Forgetful):
+    def __init__(self, forget_after: float):
+        self.forget_after = forget_after
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ended = handle.getValueState("ended", "ended boolean")
+        self.handle, self.kept = handle, handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = []
-        if not self.ended.exists():
+        if not self.kept.exists():
             for row in _in_order(rows):
                 kept.append((key[0], row.ts, row.seq, row.kind))
                 if row.kind in TERMINAL:
-                    self.ended.update((True,))
+                    self.remember(row.ts, (True,))
                     break
         yield pd.DataFrame(kept, columns=["video_id", "ts", "seq", "kind"])
 
-    def close(self) -> None:
-        pass
 
+def until_terminal(events: DataFrame, delay: str = "10 minutes", forget_after: float = FORGET_AFTER_S) -> DataFrame:
+    """Events of a video up to and including its first ``done`` or ``error``.
 
-def until_terminal(events: DataFrame) -> DataFrame:
-    """Events of a video up to and including its first ``done`` or ``error``."""
+    Rows later than ``delay`` are dropped. That a video ended is forgotten ``forget_after`` seconds of event time later.
+    """
     use_rocksdb(events.sparkSession)
-    rows = events.select("video_id", "ts", "seq", "kind")
+    rows = events.select("video_id", "ts", "seq", "kind").withWatermark("ts", delay)
     return rows.groupBy("video_id").transformWithStateInPandas(
-        _UntilTerminal(), "video_id bigint, ts timestamp, seq bigint, kind string", "Append", "None")
+        _UntilTerminal(forget_after), "video_id bigint, ts timestamp, seq bigint, kind string", "Append",
+        "EventTime")
 
 
 def replay(history: DataFrame, live: DataFrame, name: str = "replay") -> DataFrame:
@@ -174,8 +201,18 @@ def live_windows(points: DataFrame, size: str = "1 second", step: str = "500 mil
             .select("video_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "cuts"))
 
 
-_WAITING = "at_ms bigint, start_s double, end_s double, structure_type string"
-_OPEN = "start_s double, end_s double, structure_type string, end_ms bigint"
+# Evidence travels as JSON.
+_SEGMENT = "start_s double, end_s double, structure_type string, sub_type string, confidence double, evidence string"
+_WAITING = f"at_ms bigint, {_SEGMENT}"
+_OPEN = f"{_SEGMENT}, end_ms bigint"
+_FIELDS = ["start_s", "end_s", "structure_type", "sub_type", "confidence", "evidence"]
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Segment ``a`` continued by ``b``: last end, first sub-type, highest confidence, ordered union of evidence."""
+    both = [x for x in (a[4], b[4]) if x is not None]
+    evidence = list(dict.fromkeys([*json.loads(a[5] or "[]"), *json.loads(b[5] or "[]")]))
+    return (a[0], b[1], a[2], a[3], max(both) if both else None, json.dumps(evidence))
 
 
 class _Merge(StatefulProcessor):
@@ -193,28 +230,30 @@ class _Merge(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
             at = [int(t.timestamp() * 1000) for t in part["ts"]]
-            self.waiting.appendList(list(zip(at, part["start_s"], part["end_s"], part["structure_type"])))
+            own = part.astype(object).where(part.notna(), None)
+            self.waiting.appendList(list(zip(at, *[own[f] for f in _FIELDS])))
             self.handle.registerTimer(min(at) + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(map(tuple, self.waiting.get()), key=lambda r: r[:3]) if self.waiting.exists() else []
         ready, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
         current = tuple(self.open.get()) if self.open.exists() else None
         closed = []
-        for at, start, end, kind in ready:
+        for at, *segment in ready:
+            start, end, kind = segment[:3]
             end_ms = at + int((end - start) * 1000)
             joins = current and current[2] == kind and kind != "unclassified"
             if joins and abs(current[1] - start) < self._gap(kind):
-                current = (current[0], end, kind, end_ms)
+                current = (*_joined(current, segment), end_ms)
             else:
                 if current:
-                    closed.append(current[:3])
-                current = (start, end, kind, end_ms)
+                    closed.append(current[:6])
+                current = (*segment, end_ms)
         # Nothing that starts later can reach an end this far back.
-        if current and not later and current[3] + self._gap(current[2]) * 1000 <= now:
-            closed.append(current[:3])
+        if current and not later and current[6] + self._gap(current[2]) * 1000 <= now:
+            closed.append(current[:6])
             current = None
         self.waiting.clear()
         if later:
@@ -223,10 +262,10 @@ class _Merge(StatefulProcessor):
         if current:
             self.open.update(current)
             if not later:
-                self.handle.registerTimer(max(now, int(current[3] + self._gap(current[2]) * 1000)) + 1)
+                self.handle.registerTimer(max(now, int(current[6] + self._gap(current[2]) * 1000)) + 1)
         else:
             self.open.clear()
-        out = pd.DataFrame(closed, columns=["start_s", "end_s", "structure_type"])
+        out = pd.DataFrame(closed, columns=_FIELDS).astype({"confidence": float})
         out.insert(0, "video_id", key[0])
         yield out
 
@@ -238,10 +277,18 @@ def live_merge(segments: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Merge neighbouring segments of one type as they arrive (see ``windows.merge_adjacent``).
 
     ``segments`` has (video_id, ts, start_s, end_s, structure_type) with
-    ``ts`` the media time as a timestamp.  A segment leaves when the next one
+    ``ts`` the media time as a timestamp, and may have sub_type, confidence and
+    evidence, which are combined as there.  A segment leaves when the next one
     does not join it or the watermark is past its reach.
     """
     use_rocksdb(segments.sparkSession)
-    rows = segments.withWatermark("ts", delay).select("video_id", "ts", "start_s", "end_s", "structure_type")
-    return rows.groupBy("video_id").transformWithStateInPandas(
-        _Merge(), "video_id bigint, start_s double, end_s double, structure_type string", "Append", "EventTime")
+    have = segments.columns
+    evidence = F.to_json("evidence") if "evidence" in have else F.lit(None)
+    rows = segments.withWatermark("ts", delay).select(
+        "video_id", "ts", "start_s", "end_s", "structure_type",
+        (F.col("sub_type") if "sub_type" in have else F.lit(None)).cast("string").alias("sub_type"),
+        (F.col("confidence") if "confidence" in have else F.lit(None)).cast("double").alias("confidence"),
+        evidence.cast("string").alias("evidence"))
+    merged = rows.groupBy("video_id").transformWithStateInPandas(
+        _Merge(), f"video_id bigint, {_SEGMENT}", "Append", "EventTime")
+    return merged.withColumn("evidence", F.from_json("evidence", "array<string>"))
