@@ -321,6 +321,16 @@ ORACLE = {
     "f07_adaptive_sample": "WITH RECURSIVE " + with_tables("totals", "", thr=_THR)[5:].rstrip() + f""",
         walk AS ({_WALK}) SELECT video_id, at_idx AS frame_index FROM walk WHERE at_idx <= n""",
     "f08_boundary_frames": with_tables("cuts videos", "SELECT video_id, frame_index FROM bf", bf=_BFRAMES),
+    "f09_sample_by_count": "WITH RECURSIVE " + with_tables(
+        "totals cuts videos", "", thr=_THR, bf=_BFRAMES, shape="""SELECT video_id, count(*) + 1 AS n,
+          max(v) - min(v) <= 0.05 * greatest(max(v), 1e-9) AS flat FROM (
+          SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 1.0 ELSE value END AS v FROM curve) GROUP BY video_id""")[5:].rstrip()
+        + f""", walk AS ({_WALK.replace("THEN 2 ELSE 7", "THEN 5 ELSE 30")})
+        SELECT video_id, frame_index FROM (SELECT video_id, n, CAST(round_even(i * ((n - 1) / greatest(least(12, n) - 1, 1)), 0)
+            AS BIGINT) AS frame_index FROM (SELECT *, unnest(range(0, least(12, n))) AS i FROM shape WHERE flat))
+          WHERE frame_index < n
+        UNION SELECT video_id, at_idx FROM walk SEMI JOIN (FROM shape WHERE NOT flat) USING (video_id) WHERE at_idx <= n
+        UNION SELECT video_id, frame_index FROM bf SEMI JOIN shape USING (video_id)""",
     "f10_sample_with_context": "WITH RECURSIVE " + with_tables("totals cuts videos", "", thr=_THR, bf=_BFRAMES)[5:]
         .rstrip() + f""", walk AS ({_WALK}),
         both_ AS (SELECT video_id, at_idx AS frame_index, false AS b FROM walk WHERE at_idx <= n

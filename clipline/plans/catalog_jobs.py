@@ -244,7 +244,72 @@ _SLOT_ROWS = " UNION ALL ".join(
     f"{need} AS required" for t in ("product_review", "talking_head", "mashup")
     for i, (n, k, dur, need) in enumerate(B.TEMPLATES[t]))
 
+
+
+def taken(slots: int) -> dict[str, str]:
+    """SQL tables t0, t1, ...: the modules that the first slots take from ``good``, each slot its best free one."""
+    made = {"t": "SELECT * FROM good WHERE false"}
+    for i in range(slots):
+        before = list(made)[-1]
+        made[f"t{i}"] = f"""SELECT * FROM {before} UNION ALL (SELECT g.* FROM good g ANTI JOIN {before} p
+            ON p.script_id = g.script_id AND p.pos = g.pos WHERE g.slot_idx = {i}
+            QUALIFY row_number() OVER (PARTITION BY g.script_id ORDER BY g.score DESC, g.pos) = 1)"""
+    return made
+
+
+_MOST = max(len(s) for s in B.TEMPLATES.values())
+_BLUEPRINT = {
+    "tmpl": f"SELECT o_orderkey AS script_id, {_TEMPLATE_SQL} AS template FROM orders",
+    "slots": _SLOT_ROWS,
+    "words": " UNION ALL ".join(f"SELECT '{k}' AS template_key, '{w.lower()}' AS word" for k, ws in B.SLOT_WORDS.items() for w in ws),
+    "m": """SELECT modules.*, template, ['开场', '产品特写', '台词金句', '转场', '购买', 'plain'][(script_id + pos * 5) % 6 + 1] AS w
+        FROM modules JOIN tmpl USING (script_id)""",
+    "good": """SELECT m.script_id, s.block_idx AS slot_idx, m.pos, count(*) AS score FROM m JOIN slots s USING (template)
+        JOIN words k USING (template_key) WHERE contains(lower(m.label), k.word) OR contains(lower(m.w), k.word) GROUP BY ALL""",
+    **taken(_MOST),
+    "b": f"""SELECT tm.script_id, s.block_idx::DOUBLE AS place, 0 AS p, s.name, s.template_key,
+          coalesce(m.duration, s.duration) AS duration, CASE WHEN m.pos IS NULL THEN 'missing' ELSE 'matched' END AS status,
+          m.id AS source_module, s.required, NULL::DOUBLE AS own
+        FROM tmpl tm JOIN slots s USING (template) LEFT JOIN t{_MOST - 1} c ON c.script_id = tm.script_id AND c.slot_idx = s.block_idx
+        LEFT JOIN modules m ON m.script_id = c.script_id AND m.pos = c.pos
+        UNION ALL SELECT m.script_id, 1000.0 + CASE WHEN template = 'none' THEN pos ELSE start_time END, pos, label, '', duration,
+          'passthrough', id, false, CASE WHEN template = 'none' THEN start_time END
+        FROM m ANTI JOIN t{_MOST - 1} c ON c.script_id = m.script_id AND c.pos = m.pos WHERE duration > 0""",
+    "laid": """SELECT script_id, row_number() OVER w - 1 AS block_idx, name, template_key, coalesce(own, round(coalesce(
+          sum(duration) OVER (PARTITION BY script_id ORDER BY place, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2))
+          AS start_time, duration, status, source_module, required FROM b WINDOW w AS (PARTITION BY script_id ORDER BY place, p)""",
+}
+
+
+def _clock_sql(x: str) -> str:
+    s = f"CAST(floor({x}) AS BIGINT)"
+    return f"""CASE WHEN {x} <= 0 THEN '0:00' WHEN {s} >= 3600 THEN {s} // 3600 || ':' || lpad(CAST({s} % 3600 // 60 AS VARCHAR), 2, '0')
+        ELSE CAST({s} // 60 AS VARCHAR) END || CASE WHEN {x} > 0 THEN ':' || lpad(CAST({s} % 60 AS VARCHAR), 2, '0') ELSE '' END"""
+
+
+#: Blocks with the cells of an export, and the heads of the scripts.
+EXPORT_SQL = {
+    "blocks": _BLOCKS,
+    "cells": f"""SELECT script_id, pos, id, type, kind, label, s, e, d, CAST(pos + 1 AS VARCHAR) AS nr,
+          {_clock_sql("s")} || ' → ' || {_clock_sql("e")} AS span, CAST(floor(d + 0.5) AS BIGINT) || 's' AS secs, descr,
+          CASE type WHEN 'title' THEN 'center_text' WHEN 'effect' THEN 'overlay' ELSE 'full_screen' END AS layout FROM (
+        SELECT *, round(start_time, 2) AS s, round(start_time + duration, 2) AS e, round(duration, 2) AS d,
+          CASE WHEN parts = '' THEN CASE type WHEN 'title' THEN '视频开场标题片段' WHEN 'effect' THEN '叠层特效或滤镜'
+            ELSE '原始视频高光片段' END ELSE parts END AS descr FROM blocks)""",
+    "heads": f"""SELECT *, '共 ' || n || ' 个模块，总时长 ' || {_clock_sql("total")} AS summary FROM (
+        SELECT s.script_id, 'script ' || s.script_id AS title, coalesce(n, 0) AS n, coalesce(total, 0.0) AS total FROM scripts s
+        LEFT JOIN (SELECT script_id, count(*) AS n, arg_max(e, pos) AS total FROM cells GROUP BY script_id) USING (script_id))""",
+}
+
 ORACLE = {
+    "b04_assign_slots": with_tables("modules", """SELECT script_id, slot_idx::INTEGER AS slot_idx, pos, score::INTEGER AS score
+        FROM t2""", worded=_WORDED, sc=_SCORES, good="SELECT * FROM sc WHERE score >= 1", **taken(3)),
+    "b05_merge_blueprint": with_tables("modules", "SELECT * FROM laid", **_BLUEPRINT),
+    "b05_blueprint_summary": with_tables("modules", """SELECT script_id, count(*) AS block_count,
+        round(sum(duration), 2) AS total_duration, count(*) FILTER (status = 'matched') AS matched,
+        count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'passthrough') AS passthrough,
+        coalesce(string_agg(name, '|' ORDER BY block_idx) FILTER (status = 'missing' AND required), '') AS required_missing
+        FROM laid GROUP BY script_id""", **_BLUEPRINT),
     "b01_compose_blocks": with_tables("modules", """SELECT script_id, pos AS "order", id AS module_id, kind AS structure_type,
         round(start_time, 2) AS start_time, round(start_time + duration, 2) AS end_time,
         CASE WHEN parts = '' THEN CASE type WHEN 'title' THEN '视频开场标题片段' WHEN 'effect' THEN '叠层特效或滤镜'

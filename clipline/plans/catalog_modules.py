@@ -454,6 +454,16 @@ _C2_LABELS = ["commercial", "gaming", "lecture", "film_tv", "music", "anime", "k
               "short_drama", "vlog", "travel", "agriculture", "parenting", "beauty_fashion"]
 _SUMS = """SELECT o_orderkey AS video_id, o_custkey % 4 / 4.0 AS fc, o_custkey % 16 * 1.0 AS flow, o_custkey % 13 / 100.0 AS ed,
       o_custkey % 5 AS m, o_custkey % 150 * 1.0 AS bpm, o_custkey % 2 = 0 AS neutral FROM orders"""
+_LABEL_ARMS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.MODULE_LABELS.items())
+_TOLD = """SELECT *, CASE WHEN kind = 'content' THEN coalesce(said20, left(shown, 19), '构图: y' || left(visual, 0), '环境空镜 / 常规画面')
+      ELSE '' END AS brief FROM (
+    SELECT *, left(said, 20) || CASE WHEN length(said) > 20 THEN '...' ELSE '' END AS said20 FROM (
+      SELECT *, count(*) OVER (PARTITION BY script_id) AS n,
+        CASE WHEN k % 4 = 0 THEN 'content' WHEN k % 7 = 0 THEN 'closing' WHEN k % 9 = 0 THEN 'transition' ELSE type END AS kind,
+        CASE WHEN k % 3 = 2 THEN 'spoken words of ' || label END AS said,
+        CASE WHEN k % 5 >= 2 THEN '文字: ' || label || ' shown' END AS shown, CASE WHEN k % 11 >= 3 THEN label END AS visual,
+        CASE WHEN k % 8 <> 0 THEN '推近' END AS moved, CASE WHEN k % 6 <> 0 THEN '情绪高' END AS peak,
+        CASE WHEN k % 10 <> 0 THEN 'a，b' END AS tags FROM (SELECT *, pos + script_id AS k FROM modules)))"""
 _C2 = " UNION ALL ".join(
     f"SELECT video_id, {i} AS rk, '{label}' AS label, 0.0::DOUBLE" + "".join(
         f" + CASE WHEN {c} THEN {p[label]}::DOUBLE ELSE 0 END" for c, p in _C2_POINTS.items() if label in p)
@@ -581,10 +591,10 @@ ORACLE = {
         avg(CASE WHEN k % 3 > 0 THEN 1.0 ELSE 0.0 END) > 0.5 AS is_dominantly_neutral,
         CASE WHEN video_id % 3 = 0 THEN 'calm' ELSE '激昂/紧张' END AS bgm_type,
         CAST(video_id % 140 + 50 AS DOUBLE) AS bpm FROM ev GROUP BY video_id"""),
-    "c02_classify_video": f"""WITH sums AS ({_SUMS}), scored AS ({_C2}), top AS ({_TOP})
-        SELECT a.video_id, a.label AS video_type, round(a.score, 4) AS confidence, b.label AS second, c.label AS third,
-          round(c.score, 4) AS third_score FROM top a JOIN top b ON a.video_id = b.video_id AND a.rn = 1 AND b.rn = 2
-        JOIN top c ON c.video_id = a.video_id AND c.rn = 3""",
+    "c02_classify_video": f"""WITH sums AS MATERIALIZED ({_SUMS}), scored AS MATERIALIZED ({_C2}), top AS MATERIALIZED ({_TOP})
+        SELECT video_id, max(label) FILTER (rn = 1) AS video_type, round(max(score) FILTER (rn = 1), 4) AS confidence,
+          max(label) FILTER (rn = 2) AS second, max(label) FILTER (rn = 3) AS third,
+          round(max(score) FILTER (rn = 3), 4) AS third_score FROM top WHERE rn <= 3 GROUP BY video_id""",
     "c03_resolve_type": f"""WITH sums AS ({_SUMS}), scored AS ({_C2}), top AS ({_TOP})
         SELECT o_orderkey AS video_id, CASE WHEN o_orderstatus = 'F' THEN 'food' WHEN round(score, 4) > 0.4 THEN label
           ELSE 'vlog' END AS video_type FROM orders JOIN top ON video_id = o_orderkey AND rn = 1""",
@@ -615,6 +625,20 @@ ORACLE = {
           ORDER BY at_) - 1 AS pos, type, label, round(start_time, 6) AS start_time, round(duration, 6) AS duration FROM (
         SELECT script_id, pos * 2 + 1 AS at_, type, label, start_time, duration FROM trimmed UNION ALL SELECT * FROM gaps)""",
         sorted=_SORTED, trimmed=_TRIM, gaps=_GAPS),
+    "m07_content_description": with_tables("modules", "SELECT script_id, pos, kind AS type, brief AS brief_description FROM told",
+                                           told=_TOLD),
+    "m08_describe_modules": with_tables("modules", f"""SELECT script_id, pos, CASE WHEN pos = 0 THEN '开头' WHEN pos >= n - 1
+          THEN '结尾' ELSE CASE kind {_LABEL_ARMS} ELSE '内容' END END AS semantic_label,
+        printf('%.1fs-%.1fs', start_time, start_time + duration) AS time_range, CASE WHEN duration < 0.5 THEN '闪切过渡' ELSE CASE kind
+          WHEN 'title' THEN coalesce(nullif(concat_ws('，', tags, shown), ''), '片头画面')
+          WHEN 'video_segment' THEN coalesce(nullif(concat_ws('，', visual, moved, peak), ''), '精彩片段')
+          WHEN 'transition' THEN coalesce(moved, '转场过渡')
+          WHEN 'effect' THEN coalesce(nullif(concat_ws('，', moved, '构图: y' || left(visual, 0)), ''), '视觉特效')
+          WHEN 'closing' THEN coalesce(nullif(concat_ws('，', said20, shown, tags), ''), '片尾画面') ELSE brief END END AS description
+        FROM told""", told=_TOLD),
+    "m26_clean_description": r"""SELECT conv_id, turn, CASE WHEN text IS NULL THEN '—' ELSE regexp_replace(regexp_replace(trim(
+        regexp_replace('画面向右移动 ' || text, '\s+', ' ', 'g')), '\s*\|\s*$', ''), '\s*\|\s*', '、', 'g') END AS text
+        FROM conversations""",
     "m09_energy_detail": with_tables("segments videos totals", """SELECT video_id, seg_idx, tone AS color_tone,
           CASE WHEN v <= 0 THEN '无' ELSE CASE WHEN v > 0.8 THEN '高' WHEN v > 0.5 THEN '中' ELSE '低' END || ' ('
             || printf('%.2f', v) || ', +' || printf('%.1f', o) || 's)' END AS emotion_peak,

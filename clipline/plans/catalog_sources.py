@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipline.operators.presets import load_presets
 from clipline.plans import adapters as A
-from clipline.plans.catalog_jobs import _composed
+from clipline.plans.catalog_jobs import EXPORT_SQL, _composed
 from clipline.plans.oracle import with_tables
 from clipline.session import scratch
 from clipline.sources import media, scripts, stages
@@ -170,6 +170,34 @@ ORACLE = {
         lpad(CAST(l_partkey % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(l_partkey % 50 AS VARCHAR), 2, '0') || '.'
         || (l_partkey % 90 + 10) END AS raw_time, CASE WHEN l_partkey % 7 > 0 THEN l_partkey % 3000 + 0.5::DOUBLE END AS bitrate_kbps,
         CASE WHEN l_partkey % 7 > 0 THEN l_partkey % 4 + 0.25::DOUBLE END AS speed FROM lineitem GROUP BY l_partkey""",
+    "s09_export_markdown": with_tables("modules scripts", """SELECT script_id, i AS line_no, ['# ' || title, '',
+          '| # | 类型 | 时间 | 时长 | 描述 |', '|---|------|------|------|------|'][i + 1] AS line
+          FROM (SELECT *, unnest(range(0, 4)) AS i FROM heads)
+        UNION ALL SELECT script_id, 4 + pos, '| ' || nr || ' | ' || label || ' | ' || span || ' | ' || secs || ' | ' || descr || ' |'
+          FROM cells
+        UNION ALL SELECT script_id, 4 + n + i, ['', '> ' || summary][i + 1] FROM (SELECT *, unnest(range(0, 2)) AS i FROM heads)""",
+        **EXPORT_SQL),
+    "s09_export_html": with_tables("modules scripts", """SELECT script_id, i AS line_no, ['<!DOCTYPE html>',
+          '<html lang="zh-CN"><head><meta charset="utf-8"><title>' || title || '</title></head>', '<body><h1>' || title || '</h1>',
+          '<table><thead><tr><th>#</th><th>类型</th><th>时间</th><th>时长</th><th>描述</th></tr></thead><tbody>'][i + 1] AS line
+          FROM (SELECT *, unnest(range(0, 4)) AS i FROM heads)
+        UNION ALL SELECT script_id, 4 + pos, '<tr><td>' || nr || '</td><td>' || label || '</td><td>' || span || '</td><td>' || secs
+          || '</td><td>' || descr || '</td></tr>' FROM cells
+        UNION ALL SELECT script_id, 4 + n + i, ['</tbody></table>', '<p class="summary">' || summary || '</p>', '</body></html>'][i + 1]
+          FROM (SELECT *, unnest(range(0, 3)) AS i FROM heads)""", **EXPORT_SQL),
+    "s09_export_plain": with_tables("modules scripts", """SELECT script_id, pos * 3 + i AS line_no,
+        [nr || '. [' || kind || '] ' || label || ' (' || span || ', ' || secs || ')', '    ' || descr, ''][i + 1] AS line
+        FROM (SELECT *, unnest(range(0, 3)) AS i FROM cells)""", **EXPORT_SQL),
+    "s09_export_json": with_tables("modules scripts", """SELECT script_id, 0::BIGINT AS line_no, '{"version":"1.0.0","metadata":{"title":"'
+          || title || '","total_duration":' || total || ',"block_count":' || n || '},"blocks":[' AS line FROM heads
+        UNION ALL SELECT script_id, 1 + pos, '{"order":' || pos || ',"module_id":"' || id || '","module_type":"' || type
+          || '","structure_type":"' || kind || '","start_time":' || s || ',"end_time":' || e || ',"duration":' || d || ',"label":"'
+          || label || '","content_tags":[' || CASE WHEN (pos + script_id) % 6 < 5 THEN '"' || id || '","' || label || '"' ELSE '' END
+          || '],"content_description":"' || descr || '","template_params":{"layout":"' || layout || '"' || CASE type
+            WHEN 'title' THEN ',"animation":"fade_in","text":"' || label || '"' WHEN 'effect' THEN ',"animation":"scale_up"'
+            ELSE ',"source_start":' || s || ',"source_end":' || e || ',"source_path":""' END || '}}'
+          || CASE WHEN pos < n - 1 THEN ',' ELSE '' END FROM cells JOIN heads USING (script_id)
+        UNION ALL SELECT script_id, 1 + n, ']}' FROM heads""", **EXPORT_SQL),
     "s09_export_srt": with_tables("modules", f"""SELECT script_id, pos * 4 + i AS line_no, CASE i WHEN 0 THEN CAST(pos + 1 AS VARCHAR)
         WHEN 1 THEN (SELECT {_SRT} FROM (SELECT CAST(floor(round(start_time, 2) * 1000 + 0.5) AS BIGINT) AS ms)) || ' --> ' ||
           (SELECT {_SRT} FROM (SELECT CAST(floor(round(start_time + duration, 2) * 1000 + 0.5) AS BIGINT) AS ms))
