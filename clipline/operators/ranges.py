@@ -8,12 +8,13 @@ key: work per bucket stays small and one long video spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FAN = 64  # growth of the bucket width from one level to the next
+_SPAN_FAN = 256  # the same where two spans meet
 
 
 def _bucket(value: Column, width: Column) -> Column:
@@ -57,7 +58,7 @@ def points_in_spans(
     return joined.filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_level", "_bucket")
 
 
-def overlapping(
+def meeting(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
@@ -65,28 +66,51 @@ def overlapping(
     right_span: tuple[str, str],
     *,
     bucket: float,
+    levels: int = 3,
 ) -> DataFrame:
-    """Every pair of spans with ``max(starts) < min(ends)`` on equal keys.
-
-    A pair can meet in several buckets; it is kept in the first one both
-    share, so no distinct is needed.
+    """Pairs of spans on equal keys that share a bucket, each pair once; callers test the spans themselves.
+
+    A span sits on the level whose bucket width (``bucket * 256**level``) suits
+    its length, so it covers about 256 buckets at most below the last level. A
+    pair meets on the level of its longer span, where the shorter one covers a
+    bucket or two: left spans on their own level with right ones up to it
+    (even grids), and right spans with shorter left ones (odd grids). Two short
+    spans therefore never meet in a wide bucket. Of several shared buckets the
+    first counts. Column names of the two sides, apart from the keys, differ.
     """
     keys = list(keys)
-    w = F.lit(float(bucket))
-
-    def spread(df: DataFrame, span: tuple[str, str], first: str) -> DataFrame:
-        lo = _bucket(F.col(span[0]), w)
-        return (df.filter(F.col(span[0]) <= F.col(span[1]))
-                .withColumn(first, lo)
-                .withColumn("_bucket", F.explode(F.sequence(lo, _bucket(F.col(span[1]), w)))))
-
-    joined = spread(left, left_span, "_first_l").join(
-        spread(right, right_span, "_first_r"), [*keys, "_bucket"])
-    return (joined
-            .filter(F.col("_bucket") == F.greatest("_first_l", "_first_r"))
-            .filter(F.greatest(F.col(left_span[0]), F.col(right_span[0]))
-                    < F.least(F.col(left_span[1]), F.col(right_span[1])))
-            .drop("_bucket", "_first_l", "_first_r"))
+    width = F.lit(float(bucket)) * F.pow(F.lit(float(_SPAN_FAN)), F.floor(F.col("_grid") / 2))
+
+    def spread(df: DataFrame, span: tuple[str, str], grids: Callable[[Column, int], list[tuple[Column, int]]]) -> DataFrame:
+        lo, hi = F.col(span[0]), F.col(span[1])
+        own = F.lit(0)
+        for i in range(1, levels):
+            own = F.when(hi - lo > F.lit(float(bucket * _SPAN_FAN**i)), i).otherwise(own)
+        used = [F.when(condition, F.lit(grid)) for i in range(levels) for condition, grid in grids(own, i)]
+        return (df.filter(lo <= hi).withColumn("_grid", F.explode(F.array_compact(F.array(*used))))
+                .withColumn("_bucket", F.explode(F.sequence(_bucket(lo, width), _bucket(hi, width)))))
+
+    one = spread(left, left_span, lambda own, i: [(own == i, 2 * i), *([(own < i, 2 * i + 1)] if i else [])])
+    two = spread(right, right_span, lambda own, i: [(own <= i, 2 * i), *([(own == i, 2 * i + 1)] if i else [])])
+    first = F.greatest(_bucket(F.col(left_span[0]), width), _bucket(F.col(right_span[0]), width))
+    joined = one.join(two, [*keys, "_grid", "_bucket"])
+    return joined.filter(F.col("_bucket") == first).drop("_grid", "_bucket")
+
+
+def overlapping(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_span: tuple[str, str],
+    right_span: tuple[str, str],
+    *,
+    bucket: float,
+    levels: int = 3,
+) -> DataFrame:
+    """Every pair of spans with ``max(starts) < min(ends)`` on equal keys, see ``meeting``."""
+    pairs = meeting(left, right, keys, left_span, right_span, bucket=bucket, levels=levels)
+    return pairs.filter(F.greatest(F.col(left_span[0]), F.col(right_span[0]))
+                        < F.least(F.col(left_span[1]), F.col(right_span[1])))
 
 
 def edges_in_spans(

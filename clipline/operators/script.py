@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from clipline.constants import MODULE_TYPES, RENDER_TRANSITIONS, SOURCE_TYPES, TRACK_TYPES
 from clipline.functions.expressions import fixed
 from clipline.operators.ordered import islands, ordered
-from clipline.operators.ranges import points_in_spans
+from clipline.operators.ranges import meeting, points_in_spans
 
 KEY = ["script_id"]
 _RESOLUTION = "struct<width:int,height:int>"
@@ -373,15 +373,11 @@ def check_overlaps(modules: DataFrame, *, bucket: float = 30.0) -> DataFrame:
     Modules meet in time buckets; only pairs that do overlap leave the join.
     A module without length overlaps the ones it lies strictly inside.
     """
-    b = F.lit(float(bucket))
     rows = modules.select("script_id", "track_index", "pos", "id", F.col("start_time").alias("s"),
-                          (F.col("start_time") + F.col("duration")).alias("e")).filter(F.col("s") <= F.col("e"))
-    rows = rows.withColumn("f", F.floor(F.col("s") / b))
-    rows = rows.withColumn("_bucket", F.explode(F.sequence("f", F.floor(F.col("e") / b))))
-    other = rows.select("script_id", "track_index", "_bucket", *[F.col(c).alias(f"o_{c}") for c in ("pos", "id", "s", "e", "f")])
-    pairs = rows.join(other, ["script_id", "track_index", "_bucket"]).filter(
-        (F.col("pos") < F.col("o_pos")) & (F.col("_bucket") == F.greatest("f", "o_f"))
-        & (F.col("s") < F.col("o_e")) & (F.col("o_s") < F.col("e")))
+                          (F.col("start_time") + F.col("duration")).alias("e"))
+    other = rows.select("script_id", "track_index", *[F.col(c).alias(f"o_{c}") for c in ("pos", "id", "s", "e")])
+    pairs = meeting(rows, other, ["script_id", "track_index"], ("s", "e"), ("o_s", "o_e"), bucket=bucket).filter(
+        (F.col("pos") < F.col("o_pos")) & (F.col("s") < F.col("o_e")) & (F.col("o_s") < F.col("e")))
     pairs = pairs.join(_last_index(modules), ["script_id", "id"], "left")
     text = _track(F.concat(F.lit("overlap between "), _name("id"), F.lit(" and "), _name("o_id")))
     return _issues(pairs, "overlap", "error", text, F.concat(F.lit("modules."), F.col("id")), F.col("id"),

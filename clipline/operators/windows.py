@@ -58,12 +58,17 @@ def _span_key(spans: DataFrame) -> str:
     return "win" if "win" in spans.columns else "seg_idx"
 
 
-def points_in_windows(points: DataFrame, spans: DataFrame, *, bucket: float = 1.0, levels: int = 1) -> DataFrame:
+def _levels(key: str) -> int:
+    """Windows are short and of one length, segments of any length."""
+    return 1 if key == "win" else 3
+
+
+def points_in_windows(points: DataFrame, spans: DataFrame, *, bucket: float = 1.0, levels: int | None = None) -> DataFrame:
     """Number of points inside each span, both ends included, and their rate; spans without points keep 0."""
     key = _span_key(spans)
     hits = points_in_spans(
         points.select("video_id", "t_s"), spans.select("video_id", key, "start_s", "end_s"),
-        ["video_id"], "t_s", "start_s", "end_s", bucket=bucket, levels=levels)
+        ["video_id"], "t_s", "start_s", "end_s", bucket=bucket, levels=levels or _levels(key))
     counts = hits.groupBy("video_id", key).agg(F.count(F.lit(1)).alias("_n"))
     length = F.col("end_s") - F.col("start_s")
     return (spans.join(counts, ["video_id", key], "left")
@@ -123,7 +128,7 @@ def keyword_flags(texts: DataFrame, spans: DataFrame, words: dict[str, list[str]
         anything = anything | F.col(n)
     hits = points_in_spans(
         flagged.filter(anything), spans.select("video_id", key, "start_s", "end_s"),
-        ["video_id"], "t_s", "start_s", "end_s", bucket=1.0)
+        ["video_id"], "t_s", "start_s", "end_s", bucket=1.0, levels=_levels(key))
     found = hits.groupBy("video_id", key).agg(*[F.bool_or(n).alias(n) for n in words])
     return spans.join(found, ["video_id", key], "left").fillna(False, list(words))
 

@@ -5,8 +5,12 @@ from types import SimpleNamespace
 import __spark_entry__ as entry
 import pytest
 from clipline.operators.audio import autocorr_peak
+from clipline.operators import ordered
 from clipline.operators.blueprint import merge_blueprint
+from clipline.operators.ranges import meeting, overlapping
 from clipline.session import work_folder
+from clipline.sources import scripts as scripts_io
+from clipline.sources import stages
 from clipline.streaming import live
 from oracle_check import compare, connect
 from pyspark.sql import functions as F
@@ -14,6 +18,61 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
+def _spans(side, start, end):
+    lengths = (0.0, 0.5, 3.0, 40.0, 300.0, 5000.0, 1e5)
+    rows = [(1, i, float((i * 37 + side * 11) % 6000), lengths[(i + side) % 7]) for i in range(120)] + [(1, 120, 0.0, 1e7)]
+    return rows, [(k, i, s, s + n) for k, i, s, n in rows], f"k long, {'ij'[side]} long, {start} double, {end} double"
+
+
+def test_spans_of_all_lengths_meet_once(spark):
+    _, left, left_schema = _spans(0, "a", "b")
+    _, right, right_schema = _spans(1, "c", "d")
+    one, two = spark.createDataFrame(left, left_schema), spark.createDataFrame(right, right_schema)
+    found = overlapping(one, two, ["k"], ("a", "b"), ("c", "d"), bucket=1.0)
+    want = sorted((x[1], y[1]) for x in left for y in right if max(x[2], y[2]) < min(x[3], y[3]))
+    assert sorted((r.i, r.j) for r in found.collect()) == want
+    alone = meeting(one.filter("i = 120"), two.filter("j = 120"), ["k"], ("a", "b"), ("c", "d"), bucket=1.0)
+    assert alone.count() == 1
+
+
+def test_ranks_from_sketches_of_many_partitions(spark):
+    values = spark.range(20000).select(F.lit(1).alias("k"), ((F.col("id") * 7919) % 20011).cast("double").alias("v"))
+    found = ordered.percentiles(values.repartition(40), ["k"], "v", {"a": 0.25, "b": 0.9}, exact_below=100).first()
+    whole = sorted(float(i * 7919 % 20011) for i in range(20000))
+    for p, got in ((0.25, found.a), (0.9, found.b)):
+        at = 19999 * p
+        want = whole[int(at)] + (whole[int(at) + 1] - whole[int(at)]) * (at - int(at))
+        assert abs(got - want) < 1e-9
+
+
+def test_rank_outside_its_bracket_is_an_error(spark):
+    values = spark.range(500).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    wrong = {"a": (0.1, lambda n: n - 1)}  # the fraction does not fit the rank
+    with pytest.raises(Exception, match="outside its bracket"):
+        ordered.order_statistics(values, ["k"], "v", wrong, exact_below=50).collect()
+
+
+def test_stage_run_without_rows_replaces_older_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5), (2, 1.5)], "video_id long, t_s double")
+    root = str(tmp_path)
+    assert stages.load_stage(spark, root, "cuts") is None
+    stages.save_stage(rows, root, "cuts")
+    stages.save_stage(rows.filter("false"), root, "cuts", rows.filter("video_id = 1").select("video_id"))
+    assert [tuple(r) for r in stages.load_stage(spark, root, "cuts").collect()] == [(2, 1.5)]
+
+
+def test_scripts_read_alike_from_lines_and_documents(spark, tmp_path):
+    heads = spark.createDataFrame([("s", "1.0.0", "t"), ("empty", "1.0.0", "t")], "script_id string, version string, title string")
+    modules = spark.range(50).select(F.lit("s").alias("script_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("id"),
+                                     F.lit("title").alias("type"))
+    scripts_io.write_scripts(heads, modules, None, str(tmp_path / "lines"))
+    scripts_io.script_documents(heads, modules).write.json(str(tmp_path / "documents"))
+    for folder in ("lines", "documents"):
+        s, m, t = scripts_io.read_scripts(spark, str(tmp_path / folder))
+        assert sorted(r.script_id for r in s.collect()) == ["empty", "s"] and t.count() == 0
+        assert [(r.pos, r.id) for r in m.orderBy("pos").collect()] == [(i, str(i)) for i in range(50)]
+
+
 @pytest.mark.parametrize("name", ["x02_throttle", "x03_expire_heartbeats", "x05_until_terminal"])
 def test_live_order_in_tiny_arrow_batches(spark, name):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
