@@ -104,7 +104,7 @@ def export_script(blocks: DataFrame, fmt: str, titles: DataFrame) -> DataFrame:
     ``fmt`` is json, markdown, html, srt or plain; ``blocks`` comes from
     ``blueprint.compose_blocks`` and ``titles`` has (script_id, title).  Line
     numbers follow from the block order, so no script is gathered in one task;
-    ``write_lines`` writes them in order.
+    ``write_lines`` stores them in order.
     """
     stats = blocks.groupBy("script_id").agg(
         F.count(F.lit(1)).alias("n"), F.max_by("end_time", "order").alias("total"))
@@ -167,9 +167,19 @@ def export_script(blocks: DataFrame, fmt: str, titles: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Write numbered lines as text, one folder per script; file order is line order."""
+    """Store numbered lines in order of script and line.
+
+    Files hold ranges of scripts, so their number follows the size of the
+    table, and the lines of one script are found by the statistics of the files.
+    """
     spread = lines.repartitionByRange("script_id", "line_no").sortWithinPartitions("script_id", "line_no")
-    spread.select("script_id", "line").write.mode("overwrite").partitionBy("script_id").text(path)
+    spread.select("script_id", "line_no", "line").write.mode("overwrite").parquet(path)
+
+
+def read_lines(spark: SparkSession, path: str, script_id: object) -> DataFrame:
+    """The text of one script, one row per line, in order."""
+    own = spark.read.parquet(path).filter(F.col("script_id") == F.lit(script_id))
+    return own.orderBy("line_no").select("line")
 
 
 # The page around the timeline; $-names are filled in.

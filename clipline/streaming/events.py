@@ -22,8 +22,8 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, *, f
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Write a batch of events as JSON lines, one folder per day."""
-    events.withColumn("day", F.to_date("ts")).repartition("day").write.mode("append").option(
+    """Write a batch of events as JSON lines, one folder per day; a large day is spread over several tasks."""
+    events.withColumn("day", F.to_date("ts")).repartitionByRange("ts", "seq").write.mode("append").option(
         "timestampFormat", _TIMESTAMPS).partitionBy("day").json(path)
 
 

@@ -61,6 +61,33 @@ def test_stage_run_without_rows_replaces_older_rows(spark, tmp_path):
     assert [tuple(r) for r in stages.load_stage(spark, root, "cuts").collect()] == [(2, 1.5)]
 
 
+def test_lines_of_one_script(spark, tmp_path):
+    lines = spark.range(300).select((F.col("id") % 30).alias("script_id"), F.floor(F.col("id") / 30).alias("line_no"),
+                                    F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    path = str(tmp_path / "lines")
+    scripts_io.write_lines(lines, path)
+    assert [r.line for r in scripts_io.read_lines(spark, path, 7).collect()] == [f"line {7 + 30 * i}" for i in range(10)]
+    assert not [p for p in (tmp_path / "lines").iterdir() if p.is_dir()]
+
+
+def test_events_of_one_day_are_spread_and_read_back(spark, tmp_path):
+    from clipline.streaming.events import EVENT_SCHEMA, write_events
+
+    day = spark.range(2000).select(
+        F.lit(1).cast("long").alias("job_id"), (F.col("id") % 3).alias("video_id"), F.lit("m").alias("module_id"),
+        F.timestamp_micros(F.col("id") * 1_000_001).alias("ts"), F.col("id").alias("seq"), F.lit("progress").alias("kind"),
+        F.lit(0.5).alias("progress"), F.lit(None).cast("double").alias("t_s"), F.lit(None).cast("double").alias("end_s"),
+        F.lit("x").alias("payload"))
+    path = str(tmp_path / "events")
+    write_events(day, path)
+    form = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    back = spark.read.schema(EVENT_SCHEMA).option("timestampFormat", form).json(path)
+    own = ["video_id", "kind", F.unix_micros("ts").alias("us")]
+    count = F.count(F.lit(1)).alias("n")
+    assert sorted(map(tuple, back.select(*own).groupBy("video_id", "kind").agg(count, F.sum("us")).collect())) == sorted(
+        map(tuple, day.select(*own).groupBy("video_id", "kind").agg(count, F.sum("us")).collect()))
+
+
 def test_scripts_read_alike_from_lines_and_documents(spark, tmp_path):
     heads = spark.createDataFrame([("s", "1.0.0", "t"), ("empty", "1.0.0", "t")], "script_id string, version string, title string")
     modules = spark.range(50).select(F.lit("s").alias("script_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("id"),
