@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +68,14 @@ def winnow(hashes: list[int], window: int) -> list[int]:
     return sorted({min(range(i, i + window), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - window + 1)})
 
 
-def align(template: list[int], words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment of ``template`` with ``words`` on the diagonals low to high: (matched, first, end).
+def _cells(template: list[int], words: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    """(score, matched, first, end) of the best local alignment up to every place on the diagonals low to high.
 
-    Equal words count 1; replaced, left out and added ones -1. ``first`` and
-    ``end`` are places in ``words``; matched is 0 if nothing agrees.
+    Equal words count 1; replaced, left out and added ones -1.
     """
     width = high - low + 1
-    nothing = (0, 0, 0, 0)  # score, matched, first, end
-    above, best = [nothing] * (width + 2), nothing
+    nothing = (0, 0, 0, 0)
+    above = [nothing] * (width + 2)
     for i, word in enumerate(template):
         row = [nothing] * (width + 2)
         for d in range(width):
@@ -91,10 +91,49 @@ def align(template: list[int], words: np.ndarray, low: int, high: int) -> tuple[
                 if gap[0] - 1 > cell[0]:
                     cell = (gap[0] - 1, *gap[1:])
             row[d + 1] = cell
-            if cell[0] > best[0]:
-                best = cell
+            yield cell
         above = row
-    return best[1:]
+
+
+def align(template: list[int], words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """Best local alignment of ``template`` with ``words`` on the diagonals low to high: (matched, first, end).
+
+    ``first`` and ``end`` are places in ``words``; matched is 0 if nothing agrees.
+    """
+    return max(_cells(template, words, low, high), key=lambda c: c[0], default=(0, 0, 0, 0))[1:]
+
+
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of alignments (score, matched, first, end) the best, then the best that overlaps none taken, and so on."""
+    taken: list[tuple[int, int, int, int]] = []
+    for cell in sorted(found, key=lambda c: -c[0]):
+        at = bisect_left(taken, cell[2], key=lambda c: c[2])
+        if (not at or taken[at - 1][3] <= cell[2]) and (at == len(taken) or cell[3] <= taken[at][2]):
+            taken.insert(at, cell)
+    return taken
+
+
+def passages(template: list[int], words: np.ndarray, low: int, high: int,
+             coverage: float) -> list[tuple[int, int, int, int]]:
+    """Every alignment on the diagonals low to high that covers enough, none over another.
+
+    The words between those taken are aligned again until nothing covers enough.
+    """
+    out, stretches = [], [(max(0, low), min(len(words), high + len(template)))]
+    while stretches:
+        start, stop = stretches.pop()
+        if stop - start < coverage * len(template):
+            continue
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for cell in _cells(template, words[start:stop], max(low - start, 1 - len(template)),
+                           min(high - start, stop - start - 1)):
+            if cell[0] > 0 and cell[1] / len(template) >= coverage and cell[0] > best.get(cell[3], (0,))[0]:
+                best[cell[3]] = cell
+        taken = [(score, matched, start + first, start + end) for score, matched, first, end in apart(list(best.values()))]
+        if taken:
+            out += taken
+            stretches += zip([start, *[c[3] for c in taken]], [*[c[2] for c in taken], stop])
+    return out
 
 
 class Scanner:
@@ -148,14 +187,16 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, int, int, int, int, float]]:
         """(template, start, end, matched, words, coverage) of every passage that covers enough of a template."""
         ids = np.fromiter(map(self.words.__getitem__, text.lower().split()), dtype=np.int64)
-        out, spans = set(), None
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
         for t, low, high in self.candidates(ids):
-            template = self.templates[t]
-            matched, first, end = align(template, ids, low - self.band, high + self.band)
-            share = matched / len(template)
-            if share >= self.coverage:
+            own = passages(self.templates[t], ids, low - self.band, high + self.band, self.coverage)
+            found.setdefault(t, []).extend(own)
+        out, spans = [], None
+        for t, cells in found.items():
+            n = len(self.templates[t])
+            for _, matched, first, end in apart(cells):
                 spans = spans or [m.span() for m in _TOKEN.finditer(text)]
-                out.add((self.names[t], spans[first][0], spans[end - 1][1], matched, len(template), share))
+                out.append((self.names[t], spans[first][0], spans[end - 1][1], matched, n, matched / n))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -165,7 +206,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
 
     A run of ``gram + window - 1`` words shared with a template holds one of
     its fingerprints; each place where fingerprints meet on nearby diagonals is
-    aligned within ``band`` words of them. ``start`` and ``end`` are character
+    aligned within ``band`` words of them, and all passages there that do not
+    overlap are taken, adjacent copies too. ``start`` and ``end`` are character
     offsets in the whole text, ``matched`` the template's words found in order.
     A template that is part of another is reported beside it. Null and empty
     texts have no passages; repeated rows give their passages each; extra
