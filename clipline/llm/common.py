@@ -26,6 +26,12 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def local_table(rows: list[tuple], names: list[str]) -> pa.Table:
+    """A small table of longs. As Arrow it reaches the JVM without Python workers, which a list of rows would start."""
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return pa.table([pa.array(list(c), pa.int64()) for c in columns], names)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
                 schema: str) -> DataFrame:
     """Arrow batches through a function that ``make`` builds once per task."""
@@ -45,7 +51,7 @@ class Memo(dict):
     come early) stay; after many misses it starts over.
     """
 
-    def __init__(self, make: Callable, most: int = 300_000):
+    def __init__(self, make: Callable, most: int = 50_000):
         super().__init__()
         self.make, self.most, self.missed = make, most, 0
 

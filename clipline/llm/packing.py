@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clipline.llm.common import map_batches, text_or_empty
+from clipline.llm.common import local_table, map_batches, text_or_empty
 from clipline.session import cut
 
 class TextEncoder:
@@ -164,8 +164,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_0
     inside = Window.partitionBy("length", "_bucket").orderBy(*own)
     ranked = split.withColumn("_i", F.row_number().over(inside)).join(starts, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_i") - 1).drop("_start", "_i", "_bucket")
-    schema = "length long, _first long, _end long, _sequence long, _slots long, _offset long"
-    table = spark.createDataFrame(runs, schema)
+    names = ["length", "_first", "_end", "_sequence", "_slots", "_offset"]
+    table = spark.createDataFrame(local_table(runs, names))
     found = ranked.join(F.broadcast(table), "length").filter("_rank >= _first AND _rank < _end")
     slot = F.col("_rank") - F.col("_first")
     return found.select(
