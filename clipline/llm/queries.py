@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipline.llm import chat, dedup, extract, licenses, mixing, packing, sharding, simhash, topk, toxicity
+from clipline.llm import (
+    chat, dedup, extract, licenses, mixing, packing, repair, sharding, simhash, sketches, topk, toxicity, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +45,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that says control strings of other templates, formatted, masked and read back."""
-    says = [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
-    known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = known.unionByName(spark.createDataFrame(says, "conv_id long, turn long, role string, text string"))
+    says = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(says)
     path = public_tokenizers.path("byte_bpe_50k.json")
     return chat.read_back(chat.format_conversations(rows, path), path)
 
@@ -74,6 +77,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of every document and its edited text, and how alike they are."""
+    return sketches.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the eight strongest components of all, whitened."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, audited and repaired."""
+    return repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     import corpus_pipeline
@@ -84,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_topk, op3_mixing, op4_extract, op5_licenses, op6_chat, op7_packing, op8_toxicity,
-        op9_simhash, op10_exact_dedup, pipeline)}
+        op9_simhash, op10_exact_dedup, op11_fingerprints, op12_whitening, op13_repair, pipeline)}
 
 ORACLE = {
     "op2_topk": """
