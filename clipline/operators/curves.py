@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipline.operators.ordered import nearest_rank, ordered, with_totals
-from clipline.operators.walks import chunked_walk
+from clipline.operators.walks import chunk_size, run_walk, sparse_walk
 
 VID = ["video_id"]
 
@@ -71,15 +71,12 @@ def pair_distance(frames: DataFrame, *, hist: str = "hist") -> DataFrame:
 def detect_cuts(curve: DataFrame, threshold: float = 27.0, min_len: int = 15, *, chunk: int | None = None) -> DataFrame:
     """Scene starts: position 0 and every score at or above the threshold, ``min_len`` after the last start.
 
-    The curve holds one score per frame (``idx`` 0, 1, 2, ...).
+    The curve holds one score per frame (``idx`` 0, 1, 2, ...). Only the frames
+    that can start a scene take part in the walk.
     """
-    def jumps(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        start = (a["value"] >= threshold) | (a["idx"] == 0)
-        return np.where(start, min_len, 1), start
-
-    found = chunked_walk(curve.withColumn("value", F.col("value").cast("double")), ["value", "idx"], jumps,
-                         max(1, min_len), chunk=chunk)
-    return found.join(curve.select("video_id", "idx", "t_s"), ["video_id", "idx"])
+    starts = (F.col("value") >= threshold) | (F.col("idx") == 0)
+    found = curve.filter(starts).select("video_id", F.col("idx").cast("long").alias("idx"), "t_s")
+    return sparse_walk(found, min_len, chunk=chunk)
 
 
 def scenes(boundaries: DataFrame, videos: DataFrame) -> DataFrame:
@@ -125,21 +122,29 @@ def adaptive_sample(curve: DataFrame, *, percent: float = 75.0, dense: int = 5,
     larger of the difference before and after it decides the step: ``dense``
     above the percentile threshold, else ``sparse``.
     """
-    points = curve.select("video_id", "idx", F.col("value").cast("double").alias("value"))
-    # Frame i looks at points i - 1 and i.
-    sides = points.select("video_id", "idx", "value").unionByName(
-        points.select("video_id", (F.col("idx") + 1).alias("idx"), "value"))
-    local = sides.groupBy("video_id", "idx").agg(F.max("value").alias("_top"), F.count(F.lit(1)).alias("_k"))
-    # The first and the last frame have one side only; the other counts as 0.
-    top = F.when(F.col("_k") == 1, F.greatest(F.col("_top"), F.lit(0.0))).otherwise(F.col("_top"))
-    rows = local.withColumn("_top", top).join(percentile_threshold(curve, percent), "video_id")
-
-    def jumps(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        step = np.where(a["_top"] > a["threshold"], dense, sparse)
-        return step, np.ones(len(step), bool)
-
-    found = chunked_walk(rows, ["_top", "threshold"], jumps, max(dense, sparse), chunk=chunk)
-    return found.withColumnRenamed("idx", "frame_index")
+    reach = max(dense, sparse)
+    size = chunk_size(reach, chunk)
+    idx, at_end = F.col("idx").cast("long"), F.col("idx") == F.col("_n") - 1
+    sizes = curve.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = percentile_threshold(curve, percent).join(sizes, "video_id")
+    points = curve.select("video_id", "idx", F.col("value").cast("double").alias("value")).join(known, "video_id")
+
+    def place(chunk_of: Column, frame: Column, value: Column, guest: bool) -> Column:
+        return F.struct(F.floor(chunk_of / size).cast("long").alias("_chunk"), frame.alias("start"),
+                        value.alias("value"), F.lit(guest).alias("guest"))
+
+    # Frame i looks at points i - 1 and i; a chunk also gets the point before it, and the last frame has no point.
+    rows = points.select("video_id", "threshold", F.explode(F.array_compact(F.array(
+        place(idx, idx, F.col("value"), False),
+        F.when(idx % size == size - 1, place(idx + 1, idx, F.col("value"), True)),
+        F.when(at_end, place(idx + 1, idx + 1, F.lit(0.0), False))))).alias("p")).select("video_id", "threshold", "p.*")
+    by_frame = Window.partitionBy("video_id", "_chunk").orderBy("start")
+    before = F.coalesce(F.lag("value").over(by_frame), F.lit(0.0))
+    rows = rows.withColumn("step", F.when(F.greatest("value", before) > F.col("threshold"), dense).otherwise(sparse))
+    rows = rows.filter("NOT guest").withColumn("_new", F.when(F.lag("step").over(by_frame) == F.col("step"), 0).otherwise(1))
+    runs = rows.withColumn("_run", F.sum("_new").over(by_frame)).groupBy("video_id", "_chunk", "_run").agg(
+        F.min("start").alias("start"), F.count(F.lit(1)).alias("n"), F.max("step").cast("long").alias("step"))
+    return run_walk(runs.drop("_run"), reach).withColumnRenamed("idx", "frame_index")
 
 
 def sample_by_count(curve: DataFrame, boundaries: DataFrame, videos: DataFrame, target: int, *,

@@ -1,53 +1,97 @@
 """Ordered windows that never hold a whole key in one task.
 
 A plain ``Window.partitionBy(video_id)`` sends every row of a video to one
-task, so one very long video stalls the job.  Here a long key is split into
-chunks of the order column.  The window runs inside (key, chunk); one summary
-row per chunk then carries the totals, the last row and the first row across
-chunk borders.  Keys that fit in one chunk (nearly all) need no carry, so the
-carry table only holds the long keys; when there are none, adaptive execution
-drops the join altogether.
-
-``order`` must be a total order inside a key and its first column must be
-numeric, since it decides the chunk.  With ``dense=True`` that column counts
-rows (0, 1, 2, ...) and the chunk is a plain division; otherwise keys with more
-than ``ROWS_PER_CHUNK`` rows are cut evenly between their smallest and largest
-value.
+task, so one very long video stalls the job.  Here a table is cut into even
+chunks of its whole order, keys first (``chunks.borders``), whatever the order
+columns are.  The window runs inside (key, chunk) after one shuffle of the
+rows.  Only keys that cross a border need more: what the chunks before and
+after hold of them is aggregated beside the borders, at most two entries per
+chunk, and rows look it up together with their chunk.  So the input is read
+twice: once, with the columns that matter, for the borders, and once for the
+rows.
+
+``order`` must be a total order inside a key.  With ``dense=True`` its first
+column counts rows (0, 1, 2, ...): a chunk is then a plain division by
+``ROWS_PER_CHUNK``, known without a sample, and the carry is a join with the
+chunks of the keys that have several.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipline.operators.chunks import search
+
 ROWS_PER_CHUNK = 1_000_000
+#: Chunks of a table that is not dense; four times the number of shuffle partitions unless set. It bounds the carry.
+CHUNKS: int | None = None
 
 _CHUNK = "_chunk"
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], first: str, dense: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows with their chunk, and the rows of the keys that have more than one chunk.
+def _number_of_chunks(df: DataFrame) -> int:
+    return CHUNKS or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+@dataclass
+class _Carry:
+    """What a chunk says of a key, and what a row learns from other chunks of its key.
 
-    Such a key has more than ``ROWS_PER_CHUNK`` rows, so there are at most
-    ``rows / ROWS_PER_CHUNK`` of them: a table of that size is safe to
-    broadcast.  When it turns out empty, adaptive execution drops everything
-    that is derived from the second result.
+    ``totals`` are aggregates of a chunk.  ``before`` and ``after`` combine
+    them over the chunks in front of and behind a chunk.  ``prepare`` adds
+    columns to the rows first, ``link`` to the chunks of a key in their order.
     """
-    keys, at, size = list(keys), F.col(first), F.lit(ROWS_PER_CHUNK)
-    if dense:
-        long_keys = df.filter((at >= size) | (at < 0)).select(*keys).distinct()
-        rows = df.withColumn(_CHUNK, F.floor(at / size).cast("long"))
-    else:
-        long_keys = (
-            df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-            .filter((F.col("_n") > ROWS_PER_CHUNK) & (F.col("_hi") > F.col("_lo")))
-            .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / size)).alias("_width")))
-        chunk = F.coalesce(F.floor((at - F.col("_lo")) / F.col("_width")).cast("long"), F.lit(0).cast("long"))
-        rows = df.join(F.broadcast(long_keys), keys, "left").withColumn(_CHUNK, chunk).drop("_lo", "_width")
-    return rows, rows.join(F.broadcast(long_keys.select(*keys)), keys, "left_semi")
+
+    totals: dict[str, Column]
+    before: dict[str, Column] = field(default_factory=dict)
+    after: dict[str, Column] = field(default_factory=dict)
+    prepare: Callable[[DataFrame, list[str], str], DataFrame] = lambda df, keys, chunk: df
+    link: Callable[[DataFrame, Window], DataFrame] = lambda df, by_chunk: df
+
+
+def _carries(per: DataFrame, keys: list[str], carry: _Carry, chunk: str) -> DataFrame:
+    """``per`` (a row for each key and chunk) with what the key's other chunks hold."""
+    by_chunk = Window.partitionBy(*keys).orderBy(chunk)
+    return carry.link(per, by_chunk).withColumns({**carry.before, **carry.after})
+
+
+def _dense(df: DataFrame, keys: list[str], first: str, carry: _Carry) -> tuple[DataFrame, DataFrame]:
+    """Rows with their chunk, and the columns of the carry for the chunks of keys that have several."""
+    rows = df.withColumn(_CHUNK, F.floor(F.col(first) / F.lit(ROWS_PER_CHUNK)).cast("long"))
+    per = carry.prepare(rows, keys, _CHUNK).groupBy(*keys, _CHUNK).agg(*[e.alias(n) for n, e in carry.totals.items()])
+    several = per.withColumn("_chunks", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_chunks > 1")
+    names = [*carry.before, *carry.after]
+    return rows, _carries(several, keys, carry, _CHUNK).select(*keys, _CHUNK, *names)
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[str], carry: _Carry) -> DataFrame:
+    """Rows with their chunk and the columns of the carry, null where a key ends inside the chunk."""
+    chunks, part = _number_of_chunks(df), "_part"
+    parts = df.repartitionByRange(chunks, *keys, *order).withColumn(part, F.spark_partition_id())
+    own = F.struct(*keys)
+    per = carry.prepare(parts, keys, part).groupBy(part, *keys).agg(
+        F.min(F.struct(*order)).alias("_least"), *[e.alias(n) for n, e in carry.totals.items()])
+    inside = Window.partitionBy(part)
+    per = per.withColumn("_low", F.min(own).over(inside)).withColumn("_high", F.max(own).over(inside)).filter(
+        (own == F.col("_low")) | (own == F.col("_high")))
+    per = _carries(per, keys, carry, part)
+    before = F.struct(*[F.col(n) for n in carry.before] or [F.lit(0).alias("_")])
+    after = F.struct(*[F.col(n) for n in carry.after] or [F.lit(0).alias("_")])
+    entry = per.groupBy(part).agg(
+        F.min(F.struct(*keys, *[F.col("_least")[c].alias(f"_o{i}") for i, c in enumerate(order)])).alias("border"),
+        F.min("_low").alias("low"), F.max("_high").alias("high"),
+        F.min_by(before, own).alias("before"), F.max_by(after, own).alias("after"))
+    table = entry.agg(F.sort_array(F.collect_list(F.struct("border", "low", "high", "before", "after"))).alias("t"))
+    table = table.select(F.struct(F.col("t.border").alias("borders"), F.col("t").alias("entries")).alias("found"))
+    place = F.struct(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = search(df, table, place, chunks).withColumn("_entry", F.get(F.col("_found")["entries"], F.col(_CHUNK)))
+    learned = {n: F.when(F.col("_entry")[side] == own, F.col("_entry")[when][n])
+               for names, side, when in ((carry.before, "low", "before"), (carry.after, "high", "after")) for n in names}
+    return rows.select(*df.columns, _CHUNK, *[e.alias(n) for n, e in learned.items()])
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
@@ -56,11 +100,6 @@ def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFra
     return df.join(summary, list(keys))
 
 
-def _multi_chunk_only(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    return summary.withColumn("_chunks", F.count(F.lit(1)).over(whole)).filter("_chunks > 1")
-
-
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -96,33 +135,33 @@ def ordered(
     previous = F.struct(*[e.alias(n) for n, e in lag.items()]) if lag else None
     following = F.struct(*[e.alias(n) for n, e in lead.items()]) if lead else None
 
-    rows, long_rows = _chunked(df, keys, order[0], dense)
-    aggregates = [getattr(F, fn)(e).alias(n) for n, (fn, e) in totals.items()]
-    if lag:
-        aggregates.append(F.max_by(previous, position).alias("_last"))
-    if lead:
-        aggregates.append(F.min_by(following, position).alias("_first"))
-    summary = _multi_chunk_only(long_rows.groupBy(*keys, _CHUNK).agg(*aggregates), keys)
-
-    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
+    chunk = _CHUNK if dense else "_part"
+    by_chunk = Window.partitionBy(*keys).orderBy(chunk)
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     later = by_chunk.rowsBetween(1, Window.unboundedFollowing)
-    carry = [F.col(k) for k in [*keys, _CHUNK]]
+    carry = _Carry({n: getattr(F, fn)(e) for n, (fn, e) in totals.items()})
+    if lag:
+        carry.totals["_last"] = F.max_by(previous, position)
+    if lead:
+        carry.totals["_first"] = F.min_by(following, position)
     for name, (fn, _) in totals.items():
-        combine = getattr(F, "sum" if fn == "count" else fn)
-        frame = later if name[3:] in after else earlier
-        carry.append(combine(name).over(frame).alias("_c" + name))
+        combine, behind = getattr(F, "sum" if fn == "count" else fn), name[3:] in after
+        (carry.after if behind else carry.before)["_c" + name] = combine(name).over(later if behind else earlier)
     if lag:
-        carry.append(F.lag("_last").over(by_chunk).alias("_prev_last"))
+        carry.before["_prev_last"] = F.lag("_last").over(by_chunk)
     if lead:
-        carry.append(F.lead("_first").over(by_chunk).alias("_next_first"))
-    carried = summary.select(*carry)
+        carry.after["_next_first"] = F.lead("_first").over(by_chunk)
+    carried = None
+    if dense:
+        rows, carried = _dense(df, keys, order[0], carry)
+    else:
+        rows = _ranged(df, keys, order, carry)
 
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     until = local.rowsBetween(Window.unboundedPreceding, -1)
     onward = local.rowsBetween(1, Window.unboundedFollowing)
-    columns = [F.col(c) for c in [*source, _CHUNK]]
+    columns = [F.col(c) for c in rows.columns]
     for group, frame in ((running, upto), (before, until), (after, onward)):
         for name, (fn, e) in group.items():
             columns.append(getattr(F, fn)(e).over(frame).alias(f"_l_{name}"))
@@ -132,8 +171,9 @@ def ordered(
         columns.append(F.lag(previous).over(local).alias("_lag"))
     if lead:
         columns.append(F.lead(following).over(local).alias("_lead"))
-
-    joined = rows.select(*columns).join(carried, [*keys, _CHUNK], "left")
+    joined = rows.select(*columns)
+    if carried is not None:
+        joined = joined.join(carried, [*keys, _CHUNK], "left")
 
     def merged(name: str, fn: str) -> Column:
         here, past = F.col(f"_l_{name}"), F.col(f"_c_t_{name}")
@@ -171,37 +211,36 @@ def islands(
     """
     keys, order = list(keys), list(order)
     source = list(df.columns)
-    rows, long_rows = _chunked(df, keys, order[0], dense)
     current = F.struct(*[e.alias(n) for n, e in values.items()])
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    starts = F.when(F.col("_prev").isNull(), 0).otherwise(
-        F.when(F.coalesce(together(F.col("_prev"), F.col("_cur")), F.lit(False)), 0).otherwise(1))
-
-    def marked(part: DataFrame) -> DataFrame:
-        return part.withColumn("_cur", current).withColumn("_prev", F.lag("_cur").over(local)).withColumn(
-            "_starts", starts)
-
-    rows = marked(rows)
-    summary = marked(long_rows).groupBy(*keys, _CHUNK).agg(
-        F.sum("_starts").alias("_n"),
-        F.min_by("_cur", F.struct(*order)).alias("_first"),
-        F.max_by("_cur", F.struct(*order)).alias("_last"))
-    summary = _multi_chunk_only(summary, keys)
-    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
-    summary = summary.withColumn("_before", F.lag("_last").over(by_chunk))
-    summary = summary.withColumn(
-        "_opens",
-        F.when(F.col("_before").isNull(), 1).otherwise(
-            F.when(F.coalesce(together(F.col("_before"), F.col("_first")), F.lit(False)), 0).otherwise(1)))
-    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *keys, _CHUNK,
-        (F.coalesce(F.sum(F.col("_opens") + F.col("_n")).over(earlier), F.lit(0)) + F.col("_opens")).alias("_base"))
 
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum("_starts").over(upto)).drop("_cur", "_prev", "_starts")
-    joined = rows.join(carried, [*keys, _CHUNK], "left")
-    return joined.select(
+    def opens(previous: str, own: str) -> Column:
+        return F.when(F.col(previous).isNull(), 1).otherwise(
+            F.when(F.coalesce(together(F.col(previous), F.col(own)), F.lit(False)), 0).otherwise(1))
+
+    def marked(rows: DataFrame, by: list[str], chunk: str) -> DataFrame:
+        local = Window.partitionBy(*by, chunk).orderBy(*order)
+        rows = rows.withColumn("_cur", current).withColumn("_prev", F.lag("_cur").over(local))
+        return rows.withColumn("_starts", F.when(F.col("_prev").isNull(), 0).otherwise(opens("_prev", "_cur")))
+
+    def link(per: DataFrame, by_chunk: Window) -> DataFrame:
+        return per.withColumn("_before", F.lag("_last").over(by_chunk)).withColumn("_opens", opens("_before", "_first"))
+
+    chunk = _CHUNK if dense else "_part"
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = _Carry(
+        {"_n": F.sum("_starts"), "_first": F.min_by("_cur", F.struct(*order)),
+         "_last": F.max_by("_cur", F.struct(*order))},
+        before={"_base": F.coalesce(F.sum(F.col("_opens") + F.col("_n")).over(earlier), F.lit(0)) + F.col("_opens")},
+        prepare=marked, link=link)
+    if dense:
+        rows, carried = _dense(df, keys, order[0], carry)
+    else:
+        rows, carried = _ranged(df, keys, order, carry), None
+    upto = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked(rows, keys, _CHUNK).withColumn("_run", F.sum("_starts").over(upto)).drop("_cur", "_prev", "_starts")
+    if carried is not None:
+        rows = rows.join(carried, [*keys, _CHUNK], "left")
+    return rows.select(
         *[F.col(c) for c in source if c != name],
         (F.coalesce(F.col("_base"), F.lit(1)) + F.col("_run")).cast("long").alias(name))
 

@@ -25,3 +25,4 @@ def small_chunks(monkeypatch):
     from clipline.operators import ordered
 
     monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 7)
+    monkeypatch.setattr(ordered, "CHUNKS", 60)

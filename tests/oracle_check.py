@@ -61,6 +61,7 @@ def main() -> int:
 
     if args.chunk:
         ordered.ROWS_PER_CHUNK = args.chunk
+        ordered.CHUNKS = max(100, 3000 // args.chunk)
     spark = build_session("oracle-check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")

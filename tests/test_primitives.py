@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from clipline.operators import ordered as O
 from clipline.operators.audio import _fft_peak, autocorr_peak
 from clipline.operators.curves import adaptive_sample, detect_cuts, sample_by_count
+from clipline.operators.chunks import borders, search
 from clipline.operators.ranges import overlapping, points_in_spans
+from clipline.operators.walks import chunk_size, run_walk, sparse_walk
 
 
 def _rows(seed=1, keys=3, n=40):
@@ -139,3 +141,80 @@ def test_autocorrelation_long_path_matches_numpy(spark):
     for limit in (1 << 20, 100):
         got = autocorr_peak(curve, whole_below=limit).first().pulse_regularity
         assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, 5.0, i) for i in range(4000)],
+    [(1, float(i), 0) for i in range(3999)] + [(1, 1e15, 0)],
+    [(None, None, i) for i in range(2000)] + [(k, float("nan"), i) for k in range(20) for i in range(100)]])
+def test_chunks_are_even_whatever_the_order_looks_like(spark, rows):
+    df = spark.createDataFrame(rows, "k int, t double, i int").repartition(6)
+    key = F.struct("k", "t", "i")
+    found = search(df, borders(df, key, 16), key, 16).groupBy("_chunk").count().collect()
+    assert len(found) >= 12 and max(r["count"] for r in found) < 1000 and min(r._chunk for r in found) == 0
+
+
+@pytest.mark.parametrize("chunks", [1, 16, 300])
+def test_ordered_over_ties_outliers_and_null_keys(spark, monkeypatch, chunks):
+    monkeypatch.setattr(O, "CHUNKS", chunks)
+    rng = random.Random(chunks)
+    data = ([(1, 5.0, i) for i in range(900)] + [(2, float(i), 0) for i in range(99)] + [(2, 1e15, 0)]
+            + [(None, None, i) for i in range(300)] + [(k, rng.random(), 0) for k in range(10, 200)])
+    rng.shuffle(data)
+    df = spark.createDataFrame([(*r, float(n)) for n, r in enumerate(data)], "k int, t double, i int, v double").repartition(5)
+    got = O.ordered(df, ["k"], ["t", "i"], number="nr", running={"run": ("sum", F.col("v"))},
+                    after={"top": ("max", F.col("v"))}, lag={"p": F.col("v")}, lead={"f": F.col("v")}).collect()
+    by_key = {}
+    for n, (k, t, i) in enumerate(data):
+        by_key.setdefault(k, []).append(((t is not None, t or 0.0, i), float(n)))
+    assert len(got) == len(data)
+    for r in got:
+        own = [v for _, v in sorted(by_key[r.k])]
+        at = own.index(r.v)
+        assert (r.nr, r.run) == (at, sum(own[:at + 1])) and r.top == max(own[at + 1:], default=None)
+        assert (r.p, r.f) == (own[at - 1] if at else None, own[at + 1] if at + 1 < len(own) else None)
+
+
+@pytest.mark.parametrize("chunks", [1, 40])
+def test_islands_without_a_dense_order(spark, monkeypatch, chunks):
+    monkeypatch.setattr(O, "CHUNKS", chunks)
+    values = [1] * 90 + [2] * 3 + [1] + [2] * 77
+    df = spark.createDataFrame([(0, i * 0.25, x) for i, x in enumerate(values)] + [(1, 0.0, 5)], "k int, t double, v int")
+    got = {(r.k, r.t): r.island for r in O.islands(
+        df.repartition(5), ["k"], ["t"], values={"v": F.col("v")}, together=lambda a, b: a["v"] == b["v"]).collect()}
+    want = {(0, i * 0.25): 1 + (i >= 90) + (i >= 93) + (i >= 94) for i in range(len(values))}
+    assert got == {**want, (1, 0.0): 1}
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_ordered_reads_its_input_twice(spark, dense):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    out = O.ordered(df, ["user_id"], ["event_id"], dense=dense, number="nr", lag={"p": F.col("value")})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+
+
+@pytest.mark.parametrize("chunk", [10, 64, 100_000])
+def test_sparse_and_run_walks_equal_plain_ones(spark, chunk):
+    rng = random.Random(chunk)
+    marks = {k: sorted(rng.sample(range(3000), 200 if k else 3)) for k in range(3)}
+    df = spark.createDataFrame([(k, i, f"m{i}") for k, own in marks.items() for i in own], "video_id int, idx long, m string")
+    got = {(r.video_id, r.idx, r.m) for r in sparse_walk(df, 9, chunk=chunk).collect()}
+    want = set()
+    for k, own in marks.items():
+        last = None
+        for i in own:
+            if last is None or i - last >= 9:
+                want.add((k, i, f"m{i}"))
+                last = i
+    assert got == want
+    size, runs, steps = chunk_size(7, chunk), [], []
+    while len(steps) < 2500:
+        n = min(rng.choice([1, 2, 5, 40]), size - len(steps) % size)
+        runs.append((0, len(steps) // size, len(steps), n, rng.randint(1, 7)))
+        steps += [runs[-1][-1]] * n
+    table = spark.createDataFrame(runs, "video_id int, _chunk long, start long, n long, step long")
+    at, visits = 0, []
+    while at < len(steps):
+        visits.append(at)
+        at += steps[at]
+    assert sorted(r.idx for r in run_walk(table, 7).collect()) == visits

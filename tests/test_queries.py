@@ -18,6 +18,7 @@ def test_query(spark, duck, monkeypatch, name):
     from clipline.operators import ordered
 
     monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 30)
+    monkeypatch.setattr(ordered, "CHUNKS", 40)
     frame = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in frame.collect()]
     if name in SQL:
