@@ -31,12 +31,12 @@ def x01(spark, d):
 
 
 def x02(spark, d):
-    out = E.run_append(L.throttle(_stream(spark, d), 36000.0), "throttle")
+    out = E.run_append(L.throttle(_stream(spark, d), 36000.0), "throttle", idle_batches=False)
     return out.select("job_id", F.unix_micros("ts").alias("us"), F.round("progress", 6).alias("progress"))
 
 
 def x03(spark, d):
-    out = E.run_append(L.expire_heartbeats(_stream(spark, d), 43200.0), "expire")
+    out = E.run_append(L.expire_heartbeats(_stream(spark, d), 43200.0, delay="0 seconds"), "expire")
     return out.select("job_id", F.unix_micros("last_beat").alias("last_us"))
 
 
@@ -46,7 +46,7 @@ def x04(spark, d):
 
 
 def x05(spark, d):
-    out = E.run_append(L.until_terminal(_stream(spark, d)), "terminal")
+    out = E.run_append(L.until_terminal(_stream(spark, d)), "terminal", idle_batches=False)
     return out.select("video_id", "seq", "kind")
 
 
@@ -84,7 +84,7 @@ def x08(spark, d):
         "video_id", "ts", F.col("t_s").alias("start_s"), "end_s", F.col("kind").alias("structure_type"),
         F.concat(F.lit("s"), (number % 3).cast("string")).alias("sub_type"), (number / 10).alias("confidence"),
         F.array(F.concat(F.lit("e"), number.cast("string")), F.col("payload")).alias("evidence"))
-    out = E.run_append(L.live_merge(rows), "merge")
+    out = E.run_append(L.live_merge(rows, delay="0 seconds"), "merge")
     return out.select("video_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "structure_type",
                       "sub_type", "confidence", F.array_join("evidence", "|").alias("evidence"))
 

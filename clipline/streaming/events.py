@@ -32,12 +32,25 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all available input into Parquet and read the result."""
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_append(stream: DataFrame, name: str, *, idle_batches: bool = True) -> DataFrame:
+    """Run a stream over all available input into Parquet and read the result.
+
+    Streams whose state expires by processing time (``live.throttle``,
+    ``live.until_terminal``) ask for another batch as long as they run, so they
+    end only without ``idle_batches``; those with event-time timers need them
+    for what is due at the end.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
-    query = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-             .option("path", out).option("checkpointLocation", scratch(spark, name + "-state")).start())
+    out, before = scratch(spark, name), spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(idle_batches).lower())
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+                 .option("path", out).option("checkpointLocation", scratch(spark, name + "-state")).start())
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)  # the running query has its own copy
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

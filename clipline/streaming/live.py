@@ -14,7 +14,7 @@ from clipline.constants import STALE_AFTER_S
 from clipline.streaming.events import run_batches, use_rocksdb
 
 TERMINAL = ("done", "error")
-#: Event time after which the state of a silent key is dropped.
+#: Time after which the state of a silent key is dropped.
 FORGET_AFTER_S = 90 * 86_400.0
 
 
@@ -33,54 +33,54 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         yield from pd.concat(parts).sort_values(["ts", "seq"]).itertuples(index=False)
 
 
-class _Forgetful(StatefulProcessor):
-    """Drops the one value of a key once the watermark is ``forget_after`` seconds past its last change."""
-
-    def remember(self, at: pd.Timestamp, value: tuple) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((at.timestamp() + self.forget_after) * 1000))
-        self.kept.update(value)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+class _Throttle(StatefulProcessor):
+    """Remembers the newest row that came through, and in each stretch of ``every`` seconds the one that did.
 
+    Rows that come through lie ``every`` seconds apart, so a stretch holds one
+    at most; only a row behind the newest looks at the stretches around it.
+    """
 
-class _Throttle(_Forgetful):
     def __init__(self, every: float, forget_after: float):
-        self.every, self.forget_after = every, forget_after
+        self.every, self.forget_ms = every, int(forget_after * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.kept = handle, handle.getValueState("last", "ts timestamp")
+        self.newest = handle.getValueState("newest", "us bigint", ttlDurationMs=self.forget_ms)
+        self.passed = handle.getMapState("passed", "stretch bigint", "us bigint", ttlDurationMs=self.forget_ms)
+
+    def _free(self, us: int, width: int) -> bool:
+        around = [(us // width + d,) for d in (-1, 0, 1)]
+        return all(not self.passed.containsKey(k) or abs(self.passed.getValue(k)[0] - us) >= width for k in around)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(self.kept.get()[0]) if self.kept.exists() else None
-        kept = []
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        width, kept = max(1, int(self.every * 1e6)), []
         for row in _in_order(rows):
-            if last is None or (row.ts - last).total_seconds() >= self.every:
-                last = row.ts
+            us = row.ts.value // 1000
+            if newest is None or us - newest >= width or (us < newest and self._free(us, width)):
+                newest = us if newest is None else max(us, newest)
+                self.passed.updateValue((us // width,), (us,))
                 kept.append((key[0], row.ts, row.seq, min(max(row.progress, 0.0), 1.0)))
         if kept:
-            self.remember(last, (last.to_pydatetime(),))
+            self.newest.update((newest,))
         yield pd.DataFrame(kept, columns=["job_id", "ts", "seq", "progress"])
 
+    def close(self) -> None:
+        pass
+
 
-def throttle(events: DataFrame, every: float = 2.0, delay: str = "10 minutes",
-             forget_after: float = FORGET_AFTER_S) -> DataFrame:
+def throttle(events: DataFrame, every: float = 2.0, forget_after: float = FORGET_AFTER_S) -> DataFrame:
     """At most one progress row per job and ``every`` seconds, the value clamped to 0..1.
 
-    Rows later than ``delay`` are dropped. The state of a job goes when none of its rows came through for
-    ``forget_after`` seconds of event time.
+    Rows are taken by time inside a micro-batch. However late a row is, it
+    counts: it comes through unless another row that did lies within ``every``
+    seconds before or after it. The state of a row that came through goes
+    ``forget_after`` seconds of processing time later.
     """
     use_rocksdb(events.sparkSession)
-    rows = events.filter(F.col("progress").isNotNull()).select("job_id", "ts", "seq", "progress").withWatermark("ts", delay)
+    rows = events.filter(F.col("progress").isNotNull()).select("job_id", "ts", "seq", "progress")
     return rows.groupBy("job_id").transformWithStateInPandas(
         _Throttle(every, forget_after), "job_id bigint, ts timestamp, seq bigint, progress double", "Append",
-        "EventTime")
+        "ProcessingTime")
 
 
 class _Expire(StatefulProcessor):
@@ -120,8 +120,8 @@ class _Expire(StatefulProcessor):
         pass
 
 
-def expire_heartbeats(events: DataFrame, after: float = STALE_AFTER_S, delay: str = "0 seconds") -> DataFrame:
-    """A row whenever a job had no beat for ``after`` seconds, by event time."""
+def expire_heartbeats(events: DataFrame, after: float = STALE_AFTER_S, delay: str = "10 minutes") -> DataFrame:
+    """A row whenever a job had no beat for ``after`` seconds, by event time. Beats later than ``delay`` are dropped."""
     use_rocksdb(events.sparkSession)
     rows = events.select("job_id", "ts", "seq").withWatermark("ts", delay)
     return rows.groupBy("job_id").transformWithStateInPandas(
@@ -141,34 +141,46 @@ def latest_of_batches(written: DataFrame) -> DataFrame:
                                          F.max_by("ts", "batch").alias("ts"))
 
 
-class _UntilTerminal(_Forgetful):
+class _UntilTerminal(StatefulProcessor):
+    """Remembers when a key ended: time and number of its first terminal row so far."""
+
     def __init__(self, forget_after: float):
-        self.forget_after = forget_after
+        self.forget_ms = int(forget_after * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.kept = handle, handle.getValueState("ended", "ended boolean")
+        self.ended = handle.getValueState("ended", "us bigint, seq bigint", ttlDurationMs=self.forget_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = []
-        if not self.kept.exists():
-            for row in _in_order(rows):
-                kept.append((key[0], row.ts, row.seq, row.kind))
-                if row.kind in TERMINAL:
-                    self.remember(row.ts, (True,))
-                    break
+        end = tuple(self.ended.get()) if self.ended.exists() else None
+        before, kept = end, []
+        for row in _in_order(rows):
+            at = (row.ts.value // 1000, row.seq)
+            if end is not None and at > end:
+                break
+            kept.append((key[0], row.ts, row.seq, row.kind))
+            if row.kind in TERMINAL:
+                end = at
+        if end != before:
+            self.ended.update(end)
         yield pd.DataFrame(kept, columns=["video_id", "ts", "seq", "kind"])
 
+    def close(self) -> None:
+        pass
+
 
-def until_terminal(events: DataFrame, delay: str = "10 minutes", forget_after: float = FORGET_AFTER_S) -> DataFrame:
+def until_terminal(events: DataFrame, forget_after: float = FORGET_AFTER_S) -> DataFrame:
     """Events of a video up to and including its first ``done`` or ``error``.
 
-    Rows later than ``delay`` are dropped. That a video ended is forgotten ``forget_after`` seconds of event time later.
+    However late a row is, it passes if it lies before the first terminal row
+    known when it comes, so no such row is lost; rows that passed before an
+    earlier terminal row came are not taken back. That a video ended is
+    forgotten ``forget_after`` seconds of processing time later.
     """
     use_rocksdb(events.sparkSession)
-    rows = events.select("video_id", "ts", "seq", "kind").withWatermark("ts", delay)
+    rows = events.select("video_id", "ts", "seq", "kind")
     return rows.groupBy("video_id").transformWithStateInPandas(
         _UntilTerminal(forget_after), "video_id bigint, ts timestamp, seq bigint, kind string", "Append",
-        "EventTime")
+        "ProcessingTime")
 
 
 def replay(history: DataFrame, live: DataFrame, name: str = "replay") -> DataFrame:
@@ -203,9 +215,10 @@ def live_windows(points: DataFrame, size: str = "1 second", step: str = "500 mil
 
 # Evidence travels as JSON.
 _SEGMENT = "start_s double, end_s double, structure_type string, sub_type string, confidence double, evidence string"
-_WAITING = f"at_ms bigint, {_SEGMENT}"
 _OPEN = f"{_SEGMENT}, end_ms bigint"
 _FIELDS = ["start_s", "end_s", "structure_type", "sub_type", "confidence", "evidence"]
+#: Media time whose waiting segments are read at once.
+STRETCH_MS = 10_000
 
 
 def _joined(a: tuple, b: tuple) -> tuple:
@@ -216,32 +229,57 @@ def _joined(a: tuple, b: tuple) -> tuple:
 
 
 class _Merge(StatefulProcessor):
-    """Holds the open segment; rows wait until the watermark has passed their start."""
+    """Holds the open segment; other segments wait, by stretches of media time, until the watermark has passed their start.
+
+    What a micro-batch brings for a stretch is one entry of a map, and the
+    stretch has a timer at its first start. Timers come in order of time, so
+    stretches are read one after the other; only one is in memory.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN)
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.entries = handle.getMapState("entries", "stretch bigint", "n bigint")
+        self.waiting = handle.getMapState("waiting", "stretch bigint, i bigint", "rows string")
 
     @staticmethod
     def _gap(kind: str) -> float:
         return 0.8 if kind == "highlight" else 1.5
 
+    def _wait(self, stretch: int, rows: list[list]) -> None:
+        n = self.entries.getValue((stretch,))[0] if self.entries.containsKey((stretch,)) else 0
+        self.waiting.updateValue((stretch, n), (json.dumps(rows),))
+        self.entries.updateValue((stretch,), (n + 1,))
+        self.handle.registerTimer(min(r[0] for r in rows) + 1)
+
+    def _take(self, stretch: int) -> list[list]:
+        if not self.entries.containsKey((stretch,)):
+            return []
+        rows = []
+        for i in range(self.entries.getValue((stretch,))[0]):
+            rows.extend(json.loads(self.waiting.getValue((stretch, i))[0]))
+            self.waiting.removeKey((stretch, i))
+        self.entries.removeKey((stretch,))
+        return sorted(rows, key=lambda r: r[:3])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            at = [int(t.timestamp() * 1000) for t in part["ts"]]
             own = part.astype(object).where(part.notna(), None)
-            self.waiting.appendList(list(zip(at, *[own[f] for f in _FIELDS])))
-            self.handle.registerTimer(min(at) + 1)
+            stretches: dict[int, list[list]] = {}
+            for at, *segment in zip([int(t.timestamp() * 1000) for t in part["ts"]], *[own[f] for f in _FIELDS]):
+                stretches.setdefault(at // STRETCH_MS, []).append([at, *segment])
+            for stretch, waiting in stretches.items():
+                self._wait(stretch, waiting)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(map(tuple, self.waiting.get()), key=lambda r: r[:3]) if self.waiting.exists() else []
-        ready, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        stretch = (expiredTimerInfo.getExpiryTimeInMs() - 1) // STRETCH_MS
+        rows = self._take(stretch)
+        later = [r for r in rows if r[0] > now]
         current = tuple(self.open.get()) if self.open.exists() else None
-        closed = []
-        for at, *segment in ready:
+        before, closed = current, []
+        for at, *segment in rows[:len(rows) - len(later)]:
             start, end, kind = segment[:3]
             end_ms = at + int((end - start) * 1000)
             joins = current and current[2] == kind and kind != "unclassified"
@@ -251,20 +289,21 @@ class _Merge(StatefulProcessor):
                 if current:
                     closed.append(current[:6])
                 current = (*segment, end_ms)
-        # Nothing that starts later can reach an end this far back.
-        if current and not later and current[6] + self._gap(current[2]) * 1000 <= now:
-            closed.append(current[:6])
-            current = None
-        self.waiting.clear()
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] + 1)
+            self._wait(stretch, later)
         if current:
-            self.open.update(current)
-            if not later:
-                self.handle.registerTimer(max(now, int(current[6] + self._gap(current[2]) * 1000)) + 1)
-        else:
+            reach = current[6] + int(self._gap(current[2]) * 1000)
+            last = min(now, reach) // STRETCH_MS
+            if reach > now:
+                self.handle.registerTimer(reach + 1)
+            # Nothing that starts later can reach an end this far back.
+            elif not any(self.entries.containsKey((s,)) for s in range(stretch, last + 1)):
+                closed.append(current[:6])
+                current = None
+        if current is None:
             self.open.clear()
+        elif current != before:
+            self.open.update(current)
         out = pd.DataFrame(closed, columns=_FIELDS).astype({"confidence": float})
         out.insert(0, "video_id", key[0])
         yield out
@@ -273,13 +312,14 @@ class _Merge(StatefulProcessor):
         pass
 
 
-def live_merge(segments: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def live_merge(segments: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Merge neighbouring segments of one type as they arrive (see ``windows.merge_adjacent``).
 
     ``segments`` has (video_id, ts, start_s, end_s, structure_type) with
     ``ts`` the media time as a timestamp, and may have sub_type, confidence and
     evidence, which are combined as there.  A segment leaves when the next one
-    does not join it or the watermark is past its reach.
+    does not join it or the watermark is past its reach.  Segments may come in
+    any order within ``delay`` of media time; later ones are dropped.
     """
     use_rocksdb(segments.sparkSession)
     have = segments.columns
