@@ -110,42 +110,47 @@ def _fft_peak(values: np.ndarray) -> float:
     return _peak(np.fft.irfft(power, size)[:n], n)
 
 
-def _fft_pass(rows: DataFrame, group: str, along: str, out: str, size: int, other: int | None) -> DataFrame:
-    """Fourier transform of every ``group`` along ``along``; with ``other`` the twiddle of the four-step split."""
-    key = rows.schema["video_id"].dataType
+def _fft_pass(rows: DataFrame, group: str, along: str, out: str, size: str, turned: bool) -> DataFrame:
+    """Fourier transform of every ``group`` along ``along``, whose length is in column ``size``.
+
+    ``turned`` multiplies the twiddle of the four-step split. Columns ``a`` and
+    ``b``, the sides of the square of a video, go along.
+    """
+    key = rows.schema["video_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros(size, dtype=np.complex128)
+        n, a, b = int(pdf[size].iloc[0]), int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        data = np.zeros(n, dtype=np.complex128)
         data[pdf[along].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        spectrum = np.fft.fft(data)
-        k = np.arange(size)
+        spectrum, k = np.fft.fft(data), np.arange(n)
         g = int(pdf[group].iloc[0])
-        if other:
-            spectrum = spectrum * np.exp(-2j * np.pi * ((k * g) % (size * other)) / (size * other))
-        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]] * size, group: np.full(size, g), out: k,
-                             "re": spectrum.real, "im": spectrum.imag})
+        if turned:
+            spectrum = spectrum * np.exp(-2j * np.pi * ((k * g) % (a * b)) / (a * b))
+        return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]] * n, group: np.full(n, g), out: k, "a": np.full(n, a),
+                             "b": np.full(n, b), "re": spectrum.real, "im": spectrum.imag})
 
-    schema = T.StructType([
-        T.StructField("video_id", key), T.StructField(group, T.LongType()), T.StructField(out, T.LongType()),
-        T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
-    return rows.groupBy("video_id", group).applyInPandas(run, schema)
+    return rows.groupBy("video_id", group).applyInPandas(
+        run, f"video_id {key}, {group} bigint, {out} bigint, a bigint, b bigint, re double, im double")
 
 
-def _long_fft(rows: DataFrame, a: int, b: int) -> DataFrame:
-    """Four-step transform of length a * b: rows (video_id, idx, re, im), absent positions are 0."""
-    split = rows.select("video_id", F.floor(F.col("idx") / b).alias("i1"), (F.col("idx") % b).alias("i2"), "re", "im")
-    first = _fft_pass(split, "i2", "i1", "k1", a, b)
-    second = _fft_pass(first, "k1", "i2", "k2", b, None)
-    return second.select("video_id", (F.col("k1") + F.lit(a) * F.col("k2")).alias("idx"), "re", "im")
+def _long_fft(rows: DataFrame) -> DataFrame:
+    """Four-step transform of length a * b: rows (video_id, a, b, idx, re, im), absent positions are 0."""
+    split = rows.select("video_id", "a", "b", F.floor(F.col("idx") / F.col("b")).alias("i1"),
+                        (F.col("idx") % F.col("b")).alias("i2"), "re", "im")
+    first = _fft_pass(split, "i2", "i1", "k1", "a", True)
+    second = _fft_pass(first, "k1", "i2", "k2", "b", False)
+    return second.select("video_id", "a", "b", (F.col("k1") + F.col("a") * F.col("k2")).alias("idx"), "re", "im")
 
 
 def autocorr_peak(curve: DataFrame, *, whole_below: int = 1 << 20) -> DataFrame:
     """Pulse regularity: highest autocorrelation of the centred curve away from lag 0.
 
     Curves shorter than ``whole_below`` points are transformed in one piece.
-    A longer one is split as a square of side about sqrt(2 n) and transformed
-    along columns and then rows, so a task holds one side of the square. Either
-    way a curve with no lag to search has regularity 0.
+    A longer one is split as a square of side about sqrt(2 n), its own, and
+    transformed along columns and then rows, so a task holds one side of the
+    square. Either way a curve with no lag to search has regularity 0. Nothing
+    runs before the result is asked for; without long curves their part of the
+    plan turns out empty.
     """
     key = curve.schema["video_id"].dataType
     sizes = curve.groupBy("video_id").agg(
@@ -160,28 +165,27 @@ def autocorr_peak(curve: DataFrame, *, whole_below: int = 1 << 20) -> DataFrame:
         sizes.filter(F.col("_n") < whole_below).select("video_id"), VID, "left_semi")
     result = short.groupBy("video_id").applyInPandas(whole, out)
 
-    longest = sizes.filter(F.col("_n") >= whole_below).agg(F.max("_n")).first()[0]
-    if longest is None:
-        return result
-    bits = int(np.ceil(np.log2(2 * longest)))
-    a, b = 1 << (bits // 2), 1 << (bits - bits // 2)
-    long = curve.join(sizes.filter((F.col("_n") >= whole_below) & (F.col("_max") != 0)), "video_id")
+    bits = F.ceil(F.log2(2 * F.col("_n"))).cast("int")
+    sides = sizes.filter(F.col("_n") >= whole_below).withColumn(
+        "a", F.pow(F.lit(2), F.floor(bits / 2)).cast("long")).withColumn(
+        "b", F.pow(F.lit(2), bits - F.floor(bits / 2)).cast("long"))
+    long = curve.join(sides.filter(F.col("_max") != 0), "video_id")
     scale = F.col("_max") + F.lit(1e-10)
-    centred = long.select("video_id", "idx", ((F.col("value") - F.col("_mean")) / scale).alias("re"),
+    centred = long.select("video_id", "a", "b", "idx", ((F.col("value") - F.col("_mean")) / scale).alias("re"),
                           F.lit(0.0).alias("im"))
-    spectrum = _long_fft(centred, a, b)
-    power = spectrum.select("video_id", "idx", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"),
+    spectrum = _long_fft(centred)
+    power = spectrum.select("video_id", "a", "b", "idx", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"),
                             F.lit(0.0).alias("im"))
-    corr = _long_fft(power, a, b).join(sizes.select("video_id", "_n"), "video_id")
+    corr = _long_fft(power).join(sizes.select("video_id", "_n"), "video_id")
     half, n = F.floor(F.col("_n") / 2), F.col("_n")
     found = corr.groupBy("video_id").agg(
         F.max(F.when(F.col("idx") <= half, F.col("re"))).alias("_top"),
-        F.max(F.when((F.col("idx") >= 20) & (F.col("idx") < F.floor((n + 1) / 2) - 20), F.col("re"))).alias("_side"))
-    tiny = F.lit(1e-10 * float(a * b))
+        F.max(F.when((F.col("idx") >= 20) & (F.col("idx") < F.floor((n + 1) / 2) - 20), F.col("re"))).alias("_side"),
+        (F.max(F.col("a") * F.col("b")) * F.lit(1e-10)).alias("_tiny"))
     flat = sizes.filter((F.col("_n") >= whole_below) & (F.col("_max") == 0)).select(
         "video_id", F.lit(0.0).alias("pulse_regularity"))
     return result.unionByName(found.select(
-        "video_id", F.coalesce(F.col("_side") / (F.col("_top") + tiny), F.lit(0.0)).alias("pulse_regularity"))).unionByName(flat)
+        "video_id", F.coalesce(F.col("_side") / (F.col("_top") + F.col("_tiny")), F.lit(0.0)).alias("pulse_regularity"))).unionByName(flat)
 
 
 # -- classifiers ----------------------------------------------------------

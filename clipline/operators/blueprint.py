@@ -104,13 +104,23 @@ def match_scores(slots: DataFrame, modules: DataFrame, words: DataFrame | None =
     ``slots`` has (script_id, slot_idx, key); ``modules`` has ``texts``, the
     array of sub-type, labels and tags.  A word counts once however many texts
     hold it.
+
+    Every module looks at each word of the rule table once, whatever slots its
+    script has; only the keys it matches then meet the slots, by script and key.
     """
     words = slot_words(slots.sparkSession) if words is None else words
-    wanted = slots.join(F.broadcast(words), "key")
-    pairs = wanted.select("script_id", "slot_idx", "words").join(
-        modules.select("script_id", "pos", F.transform("texts", lambda t: F.lower(t)).alias("_t")), KEY)
-    hit = F.filter("words", lambda w: F.exists("_t", lambda t: t.contains(F.lower(w))))
-    return pairs.select("script_id", "slot_idx", "pos", F.size(hit).alias("score")).filter("score >= 1")
+    rules = words.agg(F.collect_list(F.struct("key", F.transform("words", F.lower).alias("words"))).alias("rules"))
+    seen = modules.select("script_id", "pos", F.transform("texts", F.lower).alias("_t")).withColumn("_rules", rules.scalar())
+
+    def score(rule: Column) -> Column:
+        hit = F.filter(rule["words"], lambda w: F.exists("_t", lambda t: t.contains(w)))
+        return F.struct(rule["key"].alias("key"), F.size(hit).alias("score"))
+
+    found = F.filter(F.transform("_rules", score), lambda k: k["score"] >= 1)
+    matched = seen.select("script_id", "pos", F.explode(found).alias("_k")).select(
+        "script_id", "pos", "_k.key", "_k.score")
+    return slots.select("script_id", "slot_idx", "key").join(matched, ["script_id", "key"]).select(
+        "script_id", "slot_idx", "pos", "score")
 
 
 def assign_slots(scores: DataFrame, slots_per_script: int) -> DataFrame:
@@ -143,11 +153,12 @@ def merge_blueprint(scripts: DataFrame, modules: DataFrame, slots: DataFrame | N
     ``scripts`` has (script_id, template); ``modules`` has ``texts``.  The
     template ``none`` passes every module through at its own time.
     """
-    slots = template_slots(scripts.sparkSession) if slots is None else slots
+    built_in = slots is None
+    slots = F.broadcast(template_slots(scripts.sparkSession)) if built_in else slots
     most = slots.groupBy("template").count().agg(F.max("count")).first()[0] or 1  # slots are a small rule table
-    known = scripts.join(F.broadcast(slots.select("template").distinct().union(
-        scripts.sparkSession.createDataFrame([("none",)], "template string")).distinct()), "template", "left_semi")
-    wanted = known.join(F.broadcast(slots), "template").select(
+    names = slots.select("template").union(scripts.sparkSession.range(1).select(F.lit("none").alias("template"))).distinct()
+    known = scripts.join(F.broadcast(names) if built_in else names, "template", "left_semi")
+    wanted = known.join(slots, "template").select(
         "script_id", "slot_idx", "name", "key", "default_dur", "required")
     chosen = assign_slots(match_scores(wanted, modules, words), most)
     placed = wanted.join(chosen, ["script_id", "slot_idx"], "left").join(
@@ -194,7 +205,7 @@ def blank_blueprint(scripts: DataFrame, slots: DataFrame | None = None) -> DataF
     # Slot starts depend on the template only, so the few template rows are laid out first.
     earlier = Window.partitionBy("template").orderBy("slot_idx").rowsBetween(Window.unboundedPreceding, -1)
     laid = slots.withColumn("start_time", F.coalesce(F.sum("default_dur").over(earlier), F.lit(0.0)))
-    rows = scripts.join(F.broadcast(laid), "template")
+    rows = scripts.join(laid, "template")
     return rows.select("script_id", "template", F.col("slot_idx").alias("block_idx"), "name",
                        F.col("key").alias("template_key"), "start_time", F.col("default_dur").alias("duration"),
                        F.lit("missing").alias("status"), "required")

@@ -312,23 +312,27 @@ def beat_alignment(boundaries: DataFrame, audio: DataFrame) -> DataFrame:
 def smooth_curve(curve: DataFrame) -> DataFrame:
     """Centred moving average over ``max(3, n // 20)`` points, zeros beyond both ends.
 
-    The window width differs per video, so a row frame cannot express it:
-    running sums are joined to themselves at the two ends of the window.
+    The window width differs per video, so a row frame cannot express it. A
+    window is the difference of two running sums: every point sends its sum to
+    the window that ends there and, with a minus, to the one that starts behind
+    it; the last point to all windows that reach beyond the end.
     """
-    n = F.col("n_points")
+    n, idx = F.col("n_points"), F.col("idx")
     totals = curve_totals(curve).select("video_id", "n_points")
     sums = ordered(curve.select("video_id", "idx", "value"), VID, ["idx"], dense=True,
                    running={"_sum": ("sum", F.col("value"))})
     w = F.when(n >= 6, F.greatest(F.lit(3), F.floor(n / 20))).otherwise(3).cast("long")
-    rows = sums.select("video_id", "idx").join(totals, "video_id").withColumn("_w", w)
-    hi = F.least(F.col("idx") + F.floor((F.col("_w") - 1) / 2), n - 1)
-    lo = F.col("idx") - F.floor(F.col("_w") / 2) - 1
-    ends = rows.select("video_id", F.col("idx").alias("_at"), "_w", "n_points", F.explode(F.array(
-        F.struct(hi.alias("idx"), F.lit(1.0).alias("_sign")), F.struct(lo.alias("idx"), F.lit(-1.0).alias("_sign")))
-    ).alias("_x")).select("video_id", "_at", "_w", "n_points", F.col("_x.idx").alias("idx"), "_x._sign")
-    parts = ends.join(sums.select("video_id", "idx", "_sum"), ["video_id", "idx"])
-    return parts.groupBy("video_id", F.col("_at").alias("idx")).agg(
-        (F.sum(F.col("_sign") * F.col("_sum")) / F.max("_w")).alias("smoothed"),
+    rows = sums.select("video_id", "idx", "_sum").join(totals, "video_id").withColumn("_w", w)
+    ahead, behind = F.floor((F.col("_w") - 1) / 2).cast("long"), F.floor(F.col("_w") / 2).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), idx - ahead)
+    ends = F.when(idx == n - 1, F.sequence(first, idx)).when(idx >= ahead, F.array(first)).otherwise(
+        F.array().cast("array<bigint>"))
+    starts = F.when(idx + behind + 1 < n, F.array(idx + behind + 1)).otherwise(F.array().cast("array<bigint>"))
+    sent = F.concat(F.transform(ends, lambda i: F.struct(i.alias("idx"), F.lit(1.0).alias("sign"))),
+                    F.transform(starts, lambda i: F.struct(i.alias("idx"), F.lit(-1.0).alias("sign"))))
+    parts = rows.select("video_id", "_sum", "_w", "n_points", F.explode(sent).alias("_x"))
+    return parts.groupBy("video_id", F.col("_x.idx").alias("idx")).agg(
+        (F.sum(F.col("_x.sign") * F.col("_sum")) / F.max("_w")).alias("smoothed"),
         F.max("n_points").alias("n_points"))
 
 

@@ -26,10 +26,12 @@ def with_preset(videos: DataFrame, presets: DataFrame | None = None, *, compat:
     ``compat=True`` gives videos without a type the built-in neutral numbers
     instead, where the closing share is 0.85 (so the closing zone starts at 15%).
     """
-    presets = load_presets(videos.sparkSession) if presets is None else presets
+    own = presets is not None
+    presets = presets if own else load_presets(videos.sparkSession)
     if "video_type" not in videos.columns:
         videos = videos.withColumn("video_type", F.lit(None).cast("string"))
-    known = F.broadcast(presets.withColumnRenamed("video_type", "_type"))
+    known = presets.withColumnRenamed("video_type", "_type")
+    known = known if own else F.broadcast(known)  # the built-in table is small
     joined = videos.join(known, F.col("video_type") == F.col("_type"), "left")
     neutral = dict(zip(PRESET_FIELDS, (0.10, 0.85, 1.0, 1.0, 1.0, 1.0, 1.0, 0.7, 1.0)))
     usual = dict(zip(PRESET_FIELDS, PRESETS[DEFAULT_VIDEO_TYPE]))

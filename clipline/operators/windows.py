@@ -26,10 +26,9 @@ def sliding_windows(videos: DataFrame, size: float = 1.0, step: float = 0.5) ->
     Videos no longer than ``size`` have none.  A video is first split into
     blocks of windows that are spread over the cluster, then expanded.
     """
-    d, size_, step_ = F.col("duration_s"), F.lit(float(size)), F.lit(float(step))
-    full = F.floor((d - size_) / step_).cast("long") + 1
-    slots = full + F.when(full * step_ < d, 1).otherwise(0)
-    blocks = (videos.filter(d > size_)
+    d = F.col("duration_s")
+    full, slots = _counts(d, size, step)
+    blocks = (videos.filter(d > size)
               .withColumn("_full", full).withColumn("_slots", slots)
               .withColumn("_block", F.explode(F.sequence(
                   F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / _WINDOWS_PER_ROW).cast("long")))))
@@ -38,11 +37,46 @@ def sliding_windows(videos: DataFrame, size: float = 1.0, step: float = 0.5) ->
     first = F.col("_block") * _WINDOWS_PER_ROW
     windows = blocks.withColumn("win", F.explode(F.sequence(
         first, F.least(first + (_WINDOWS_PER_ROW - 1), F.col("_slots") - 1))))
-    start = F.round(F.col("win") * step_, 1)
-    end = F.when(F.col("win") < F.col("_full"), F.round(F.col("win") * step_ + size_, 1)).otherwise(F.round(d, 1))
+    start, end = _edges(F.col("win"), F.col("_full"), d, size, step)
     return windows.select(*videos.columns, "win", start.alias("start_s"), end.alias("end_s"))
 
 
+def _counts(d: Column, size: float, step: float) -> tuple[Column, Column]:
+    """How many windows of a video are whole, and how many it has with the partial one at its end."""
+    full = F.floor((d - F.lit(float(size))) / F.lit(float(step))).cast("long") + 1
+    return full, full + F.when(full * F.lit(float(step)) < d, 1).otherwise(0)
+
+
+def _edges(win: Column, full: Column, d: Column, size: float, step: float) -> tuple[Column, Column]:
+    start = win * F.lit(float(step))
+    return F.round(start, 1), F.when(win < full, F.round(start + F.lit(float(size)), 1)).otherwise(F.round(d, 1))
+
+
+def _near_windows(low: Column, high: Column, slots: Column, size: float, step: float) -> Column:
+    """Numbers of all windows that may touch ``low`` to ``high`` (media time), one or two more on each side."""
+    first = F.greatest(F.lit(0).cast("long"), F.floor((low - F.lit(float(size))) / F.lit(float(step))).cast("long") - 1)
+    last = F.least(slots - 1, F.floor(high / F.lit(float(step))).cast("long") + 1)
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def touched_windows(rows: DataFrame, videos: DataFrame, start: str, end: str, size: float = 1.0,
+                    step: float = 0.5) -> DataFrame:
+    """``rows`` with every sliding window (win, win_start, win_end) that ``start`` to ``end`` touches, ends included.
+
+    Window numbers follow from the times, so only the duration of a video is
+    looked up; the windows themselves are not shuffled.
+    """
+    d = F.col("_d")
+    full, slots = _counts(d, size, step)
+    known = videos.filter(F.col("duration_s") > size).select("video_id", F.col("duration_s").alias("_d")).withColumns(
+        {"_full": full, "_slots": slots})
+    near = rows.filter(F.col(start) <= F.col(end)).join(known, "video_id").withColumn(
+        "win", F.explode(_near_windows(F.col(start), F.col(end), F.col("_slots"), size, step)))
+    win_start, win_end = _edges(F.col("win"), F.col("_full"), d, size, step)
+    near = near.withColumn("win_start", win_start).withColumn("win_end", win_end).drop("_d", "_full", "_slots")
+    return near.filter((F.col("win_start") <= F.col(end)) & (F.col("win_end") >= F.col(start)))
+
+
 def zones(windows: DataFrame, presets: DataFrame | None = None, *, compat: bool = False) -> DataFrame:
     """Flags: does the window lie in the opening or closing zone of its preset?"""
     tuned = with_preset(windows, presets, compat=compat)
@@ -63,12 +97,20 @@ def _levels(key: str) -> int:
     return 1 if key == "win" else 3
 
 
-def points_in_windows(points: DataFrame, spans: DataFrame, *, bucket: float = 1.0, levels: int | None = None) -> DataFrame:
-    """Number of points inside each span, both ends included, and their rate; spans without points keep 0."""
+def points_in_windows(points: DataFrame, spans: DataFrame, *, bucket: float = 1.0, levels: int | None = None,
+                      videos: DataFrame | None = None) -> DataFrame:
+    """Number of points inside each span, both ends included, and their rate; spans without points keep 0.
+
+    Here and below, ``videos`` says that the spans are the sliding windows of
+    these videos, whose numbers are then computed instead of joined.
+    """
     key = _span_key(spans)
-    hits = points_in_spans(
-        points.select("video_id", "t_s"), spans.select("video_id", key, "start_s", "end_s"),
-        ["video_id"], "t_s", "start_s", "end_s", bucket=bucket, levels=levels or _levels(key))
+    points = points.select("video_id", "t_s")
+    if videos is not None:
+        hits = touched_windows(points, videos, "t_s", "t_s")
+    else:
+        hits = points_in_spans(points, spans.select("video_id", key, "start_s", "end_s"),
+                               ["video_id"], "t_s", "start_s", "end_s", bucket=bucket, levels=levels or _levels(key))
     counts = hits.groupBy("video_id", key).agg(F.count(F.lit(1)).alias("_n"))
     length = F.col("end_s") - F.col("start_s")
     return (spans.join(counts, ["video_id", key], "left")
@@ -82,6 +124,11 @@ def curve_totals(curve: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_points"), F.avg("value").alias("curve_mean"), F.max("value").alias("curve_max"))
 
 
+def _bounds(start: Column, end: Column, d: Column, n: Column) -> tuple[Column, Column]:
+    i_from = F.greatest(F.lit(0), F.least((start / d * n).cast("long"), n - 1))
+    return i_from, F.greatest(i_from + 1, F.least((end / d * n).cast("long"), n))
+
+
 def slice_bounds(spans: DataFrame, totals: DataFrame) -> DataFrame:
     """Index range ``[i_from, i_to)`` of the curve that belongs to each span.
 
@@ -90,8 +137,7 @@ def slice_bounds(spans: DataFrame, totals: DataFrame) -> DataFrame:
     """
     n, d = F.col("n_points"), F.col("duration_s")
     joined = spans.join(totals, "video_id")
-    i_from = F.greatest(F.lit(0), F.least((F.col("start_s") / d * n).cast("long"), n - 1))
-    i_to = F.greatest(F.col("i_from") + 1, F.least((F.col("end_s") / d * n).cast("long"), n))
+    i_from, i_to = _bounds(F.col("start_s"), F.col("end_s"), d, n)
     return joined.withColumn("i_from", i_from.cast("long")).withColumn("i_to", i_to.cast("long"))
 
 
@@ -106,18 +152,66 @@ def slice_curve(curve: DataFrame, spans: DataFrame, *, bucket: float = 8.0, leve
     return hits.drop("_last").withColumn("slice_pos", F.col("idx") - F.col("i_from"))
 
 
-def peak_ratio(curve: DataFrame, spans: DataFrame) -> DataFrame:
+def _curve_windows(curve: DataFrame, videos: DataFrame, size: float = 1.0, step: float = 0.5) -> DataFrame:
+    """Curve points with every sliding window whose slice holds them (``in_slice``) or whose fading test reads them.
+
+    Columns: video_id, win, value, curve_mean, n_points, in_slice, and how
+    often the point is among the first and the last two of the fading test
+    (``as_first``, ``as_last``). A slice is the share of the points that the
+    window is of the video, so the windows of a point follow from its number.
+    """
+    totals = curve_totals(curve).select("video_id", "n_points", "curve_mean")
+    d, n, idx, win = F.col("duration_s"), F.col("n_points"), F.col("idx"), F.col("win")
+    full, slots = _counts(d, size, step)
+    known = videos.filter(d > size).select("video_id", "duration_s").join(totals, "video_id").withColumns(
+        {"_full": full, "_slots": slots, "_reach": (n * 0.05).cast("long")})
+
+    def around(low: Column, high: Column) -> Column:
+        """Windows that start or end between two places of the curve, in points."""
+        return _near_windows(low * d / n, high * d / n, F.col("_slots"), size, step)
+    to_end = F.when(idx >= n - 2, n + 1)
+    late = (n >= 4) & (idx >= n * 0.8 - 4)
+    places = F.array_distinct(F.concat(
+        around(idx - 1, F.coalesce(to_end, idx + 2)),
+        F.when(late, around(idx - F.col("_reach") - 3, F.coalesce(to_end, idx - F.col("_reach") + 4)))
+        .otherwise(F.array().cast("array<bigint>"))))
+    rows = curve.select("video_id", "idx", "value").join(known, "video_id").withColumn("win", F.explode(places))
+    start, end = _edges(win, F.col("_full"), d, size, step)
+    i_from, i_to = _bounds(start, end, d, n)
+    raw = (start / d * n).cast("long")
+    first = F.greatest(F.lit(0), F.least(raw, n - 2)).cast("long")
+    last = F.greatest(first + 2, F.least(raw + F.col("_reach"), n)).cast("long")
+    fades = (n >= 4) & (start >= d * 0.8)
+    rows = rows.select(
+        "video_id", "win", "value", "curve_mean", "n_points", ((idx >= i_from) & (idx < i_to)).alias("in_slice"),
+        F.when(fades & idx.between(first, first + 1), 1).otherwise(0).alias("as_first"),
+        F.when(fades & idx.between(last - 2, last - 1), 1).otherwise(0).alias("as_last"))
+    return rows.filter("in_slice OR as_first > 0 OR as_last > 0")
+
+
+def _falling() -> Column:
+    """Whether the last two points of the fading test lie well below its first two; null without the test."""
+    first = F.sum(F.col("value") * F.col("as_first")) / 2
+    last = F.sum(F.col("value") * F.col("as_last")) / 2
+    return F.when(F.sum("as_first") > 0, F.when(first > 0, last < first * 0.7).otherwise(True))
+
+
+def peak_ratio(curve: DataFrame, spans: DataFrame, videos: DataFrame | None = None) -> DataFrame:
     """Highest slice value over the mean of the whole curve; 1.0 without a curve or with a mean of 0."""
     key = _span_key(spans)
-    bounds = slice_bounds(spans.select("video_id", key, "start_s", "end_s", "duration_s"), curve_totals(curve))
-    peaks = slice_curve(curve, bounds).groupBy("video_id", key).agg(
-        F.max("value").alias("_peak"), F.max("curve_mean").alias("_mean"))
+    if videos is not None:
+        hits = _curve_windows(curve, videos).filter("in_slice")
+    else:
+        hits = slice_curve(curve, slice_bounds(
+            spans.select("video_id", key, "start_s", "end_s", "duration_s"), curve_totals(curve)))
+    peaks = hits.groupBy("video_id", key).agg(F.max("value").alias("_peak"), F.max("curve_mean").alias("_mean"))
     ratio = F.when(F.col("_mean") > 0, F.col("_peak") / F.col("_mean"))
     return (spans.join(peaks, ["video_id", key], "left")
             .withColumn("peak_ratio", F.coalesce(ratio, F.lit(1.0))).drop("_peak", "_mean"))
 
 
-def keyword_flags(texts: DataFrame, spans: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
+def keyword_flags(texts: DataFrame, spans: DataFrame, words: dict[str, list[str]] | None = None,
+                  videos: DataFrame | None = None) -> DataFrame:
     """One flag per word list: does a text shown inside the span contain one of its words?"""
     key = _span_key(spans)
     words = words or WORD_LISTS
@@ -126,36 +220,21 @@ def keyword_flags(texts: DataFrame, spans: DataFrame, words: dict[str, list[str]
     anything = F.lit(False)
     for n in words:
         anything = anything | F.col(n)
-    hits = points_in_spans(
-        flagged.filter(anything), spans.select("video_id", key, "start_s", "end_s"),
-        ["video_id"], "t_s", "start_s", "end_s", bucket=1.0, levels=_levels(key))
+    if videos is not None:
+        hits = touched_windows(flagged.filter(anything), videos, "t_s", "t_s")
+    else:
+        hits = points_in_spans(
+            flagged.filter(anything), spans.select("video_id", key, "start_s", "end_s"),
+            ["video_id"], "t_s", "start_s", "end_s", bucket=1.0, levels=_levels(key))
     found = hits.groupBy("video_id", key).agg(*[F.bool_or(n).alias(n) for n in words])
     return spans.join(found, ["video_id", key], "left").fillna(False, list(words))
 
 
-def _fading_points(curve: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows of the last fifth with the first and last two points of their 5% slice."""
-    n, d = F.col("n_points"), F.col("duration_s")
-    late = windows.filter(F.col("start_s") >= d * 0.8).join(curve_totals(curve), "video_id", "left")
-    late = late.filter(n >= 4)
-    raw = (F.col("start_s") / d * n).cast("long")
-    start = F.greatest(F.lit(0), F.least(raw, n - 2)).cast("long")
-    late = late.withColumn("i_from", start).withColumn(
-        "i_to", F.greatest(start + 2, F.least(F.least(raw + (n * 0.05).cast("long"), n), n)).cast("long"))
-    wanted = late.select(
-        "video_id", "win", F.explode(F.array(
-            F.struct(F.lit(1).alias("first"), F.lit(0).alias("last"), F.col("i_from").alias("idx")),
-            F.struct(F.lit(1).alias("first"), F.lit(0).alias("last"), (F.col("i_from") + 1).alias("idx")),
-            F.struct(F.lit(0).alias("first"), F.lit(1).alias("last"), (F.col("i_to") - 2).alias("idx")),
-            F.struct(F.lit(0).alias("first"), F.lit(1).alias("last"), (F.col("i_to") - 1).alias("idx")))).alias("_p"))
-    wanted = wanted.select("video_id", "win", "_p.*")
-    points = wanted.join(curve.select("video_id", "idx", "value"), ["video_id", "idx"])
-    return points.groupBy("video_id", "win").agg(
-        (F.sum(F.col("value") * F.col("first")) / 2).alias("_first"),
-        (F.sum(F.col("value") * F.col("last")) / 2).alias("_last"))
-
-
-def fading_flag(curve: DataFrame, windows: DataFrame) -> DataFrame:
+def _videos_of(windows: DataFrame) -> DataFrame:
+    return windows.select("video_id", "duration_s").distinct()
+
+
+def fading_flag(curve: DataFrame, windows: DataFrame, videos: DataFrame | None = None) -> DataFrame:
     """Is the curve falling at a window near the end?
 
     Only windows in the last fifth qualify.  The mean of the last two points
@@ -163,33 +242,49 @@ def fading_flag(curve: DataFrame, windows: DataFrame) -> DataFrame:
     two; with fewer than four points the last tenth of the video counts.
     """
     d = F.col("duration_s")
-    known = curve_totals(curve).select("video_id", F.col("n_points").alias("_n"))
-    ends = _fading_points(curve, windows)
-    falling = F.when(F.col("_first") > 0, F.col("_last") < F.col("_first") * 0.7).otherwise(True)
+    videos = _videos_of(windows) if videos is None else videos
+    found = _curve_windows(curve, videos).groupBy("video_id", "win").agg(
+        _falling().alias("_falling"), F.max("n_points").alias("_n"))
     flag = (F.when(F.col("start_s") < d * 0.8, False)
             .when(F.coalesce(F.col("_n"), F.lit(0)) < 4, F.col("start_s") > d * 0.9)
-            .otherwise(falling))
-    return (windows.join(known, "video_id", "left").join(ends, ["video_id", "win"], "left")
-            .withColumn("is_fading", flag).drop("_n", "_first", "_last"))
+            .otherwise(F.coalesce("_falling", F.lit(False))))
+    return windows.join(found, ["video_id", "win"], "left").withColumn("is_fading", flag).drop("_n", "_falling")
 
 
-def edge_in_span(spans: DataFrame, windows: DataFrame, name: str = "silence_edge") -> DataFrame:
-    """Does the start or the end of a window lie inside one of the spans?"""
+def _edge_hits(spans: DataFrame, windows: DataFrame, videos: DataFrame | None) -> DataFrame:
+    """Windows whose start or end lies inside one of the spans."""
     quiet = spans.select("video_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
-    hits = edges_in_spans(windows.select("video_id", "win", "start_s", "end_s"), quiet, ["video_id"],
-                          ["start_s", "end_s"], "_s", "_e", bucket=4.0, levels=2)
-    found = hits.groupBy("video_id", "win").agg(F.lit(True).alias(name))
+    if videos is None:
+        return edges_in_spans(windows.select("video_id", "win", "start_s", "end_s"), quiet, ["video_id"],
+                              ["start_s", "end_s"], "_s", "_e", bucket=4.0, levels=2)
+    hits = touched_windows(quiet, videos, "_s", "_e")
+    return hits.filter("win_start BETWEEN _s AND _e OR win_end BETWEEN _s AND _e")
+
+
+def _overlaps(spans: DataFrame, windows: DataFrame, key: str, videos: DataFrame | None) -> DataFrame:
+    """Pairs of a window and a span that overlap, with the ``seconds`` they share."""
+    said = spans.select("video_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
+    if videos is None:
+        pairs = overlapping(windows.select("video_id", key, F.col("start_s").alias("win_start"), F.col("end_s").alias("win_end")),
+                            said, ["video_id"], ("win_start", "win_end"), ("_s", "_e"), bucket=1.0)
+    else:
+        pairs = touched_windows(said, videos, "_s", "_e").filter(
+            F.greatest("win_start", "_s") < F.least("win_end", "_e"))
+    return pairs.withColumn("seconds", F.least("win_end", "_e") - F.greatest("win_start", "_s"))
+
+
+def edge_in_span(spans: DataFrame, windows: DataFrame, name: str = "silence_edge",
+                 videos: DataFrame | None = None) -> DataFrame:
+    """Does the start or the end of a window lie inside one of the spans?"""
+    found = _edge_hits(spans, windows, videos).groupBy("video_id", "win").agg(F.lit(True).alias(name))
     return windows.join(found, ["video_id", "win"], "left").fillna(False, [name])
 
 
-def overlap_seconds(spans: DataFrame, windows: DataFrame, name: str = "speech_s") -> DataFrame:
+def overlap_seconds(spans: DataFrame, windows: DataFrame, name: str = "speech_s",
+                    videos: DataFrame | None = None) -> DataFrame:
     """Seconds of the spans inside each window (positive overlaps added up)."""
     key = _span_key(windows)
-    said = spans.select("video_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
-    pairs = overlapping(windows.select("video_id", key, "start_s", "end_s"), said, ["video_id"],
-                        ("start_s", "end_s"), ("_s", "_e"), bucket=1.0)
-    seconds = F.least("end_s", "_e") - F.greatest("start_s", "_s")
-    totals = pairs.groupBy("video_id", key).agg(F.sum(seconds).alias(name))
+    totals = _overlaps(spans, windows, key, videos).groupBy("video_id", key).agg(F.sum("seconds").alias(name))
     return windows.join(totals, ["video_id", key], "left").fillna(0.0, [name])
 
 
@@ -216,7 +311,8 @@ FRAME_COLUMNS = [
     "brightness_mean", "histogram_distance", "person_count", "vehicle_count", "animal_count", "object_count"]
 
 
-def window_features(frames: DataFrame, windows: DataFrame, *, compat: bool = False) -> DataFrame:
+def window_features(frames: DataFrame, windows: DataFrame, *, compat: bool = False,
+                    videos: DataFrame | None = None) -> DataFrame:
     """Frame features combined per window.
 
     Frames belong to a window by their time ``t_s``.  ``compat=True`` uses the
@@ -236,6 +332,8 @@ def window_features(frames: DataFrame, windows: DataFrame, *, compat: bool = Fal
             (F.col("end_s") / share * F.col("_total")).cast("long") + 1, F.col("_n")))
         spans = spans.withColumn("_lo", lo).withColumn("_hi", hi - 1)
         pairs = points_in_spans(wanted, spans, ["video_id"], "idx", "_lo", "_hi", bucket=64.0, levels=3)
+    elif videos is not None:
+        pairs = touched_windows(wanted, videos, "t_s", "t_s")
     else:
         pairs = points_in_spans(wanted, spans, ["video_id"], "t_s", "start_s", "end_s", bucket=1.0)
     made = _frame_aggregates()
@@ -247,6 +345,7 @@ def window_features(frames: DataFrame, windows: DataFrame, *, compat: bool = Fal
 
 def window_signals(
     windows: DataFrame,
+    videos: DataFrame | None = None,
     *,
     curve: DataFrame | None = None,
     cuts: DataFrame | None = None,
@@ -255,63 +354,50 @@ def window_signals(
     speech: DataFrame | None = None,
     frames: DataFrame | None = None,
 ) -> DataFrame:
-    """All signals of a window in one row.
+    """All signals of the sliding windows of ``videos`` (by default those of the windows), one row each.
 
-    Every signal contributes rows keyed by (video, window); one grouped pass
-    combines them, so the whole table is shuffled once on that key however
-    many signals there are.  Missing inputs give neutral values.
+    Every signal finds its windows by arithmetic and contributes rows keyed by
+    (video, window), combined on the map side; one shuffle on that key then
+    brings all signals and the windows together, however many there are.
+    Missing inputs give neutral values.
     """
-    spans = windows.select("video_id", "win", "start_s", "end_s")
+    videos = _videos_of(windows) if videos is None else videos
     parts = [windows.withColumn("_base", F.lit(True))]
     gathered: dict[str, tuple[Column, object]] = {
         c: (F.first(c, ignorenulls=True), None) for c in windows.columns if c not in ("video_id", "win")}
+    gathered["_base"] = (F.max("_base"), None)
+    d = F.col("duration_s")
+    tested = F.lit(False)
 
     if cuts is not None:
-        hits = points_in_spans(cuts.select("video_id", "t_s"), spans, ["video_id"], "t_s", "start_s", "end_s",
-                               bucket=1.0)
-        parts.append(hits.groupBy("video_id", "win").agg(F.count(F.lit(1)).alias("cuts")))
+        hits = touched_windows(cuts.select("video_id", "t_s"), videos, "t_s", "t_s")
+        parts.append(hits.select("video_id", "win", F.lit(1).cast("long").alias("cuts")))
         gathered["cuts"] = (F.sum("cuts"), 0)
     if curve is not None:
-        totals = curve_totals(curve)
-        bounds = slice_bounds(windows.select("video_id", "win", "start_s", "end_s", "duration_s"), totals)
-        hits = slice_curve(curve, bounds)
         ratio = F.when(F.col("curve_mean") > 0, F.col("value") / F.col("curve_mean")).otherwise(1.0)
-        parts.append(hits.select("video_id", "win", ratio.alias("peak_ratio")))
+        parts.append(_curve_windows(curve, videos).select(
+            "video_id", "win", F.when(F.col("in_slice"), ratio).alias("peak_ratio"), "value", "as_first", "as_last",
+            "n_points"))
         gathered["peak_ratio"] = (F.max("peak_ratio"), 1.0)
-        enough = totals.filter(F.col("n_points") >= 4).select("video_id")
-        few = windows.join(enough, "video_id", "left_anti")
-        ends = _fading_points(curve, windows).select(
-            "video_id", "win",
-            F.when(F.col("_first") > 0, F.col("_last") < F.col("_first") * 0.7).otherwise(True).alias("is_fading"))
-        parts.append(ends)
-    else:
-        few = windows
-    d = F.col("duration_s")
-    parts.append(few.filter((F.col("start_s") >= d * 0.8) & (F.col("start_s") > d * 0.9)).select(
-        "video_id", "win", F.lit(True).alias("is_fading")))
-    gathered["is_fading"] = (F.bool_or("is_fading"), False)
+        gathered["_falling"] = (_falling(), None)
+        gathered["_points"] = (F.max("n_points"), None)
+        tested = F.coalesce(F.col("_points") >= 4, F.lit(False))
     if texts is not None:
         flagged = texts.filter(F.col("t_s") >= 0).select(
             "video_id", "t_s", *[contains_any(F.col("text"), w).alias(n) for n, w in WORD_LISTS.items()])
-        flagged = flagged.filter(" or ".join(WORD_LISTS))
-        hits = points_in_spans(flagged, spans, ["video_id"], "t_s", "start_s", "end_s", bucket=1.0)
+        hits = touched_windows(flagged.filter(" or ".join(WORD_LISTS)), videos, "t_s", "t_s")
         parts.append(hits.select("video_id", "win", *WORD_LISTS))
     for n in WORD_LISTS:
         gathered[n] = (F.bool_or(n), False)
     if silence is not None:
-        quiet = silence.select("video_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
-        hits = edges_in_spans(spans, quiet, ["video_id"], ["start_s", "end_s"], "_s", "_e", bucket=4.0, levels=2)
-        parts.append(hits.select("video_id", "win", F.lit(True).alias("silence_edge")))
+        parts.append(_edge_hits(silence, windows, videos).select("video_id", "win", F.lit(True).alias("silence_edge")))
     gathered["silence_edge"] = (F.bool_or("silence_edge"), False)
     if speech is not None:
-        said = speech.select("video_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"))
-        pairs = overlapping(spans, said, ["video_id"], ("start_s", "end_s"), ("_s", "_e"), bucket=1.0)
-        parts.append(pairs.select(
-            "video_id", "win", (F.least("end_s", "_e") - F.greatest("start_s", "_s")).alias("speech_s")))
+        parts.append(_overlaps(speech, windows, "win", videos).select(
+            "video_id", "win", F.col("seconds").alias("speech_s")))
     if frames is not None:
         wanted = frames.select("video_id", "t_s", *FRAME_COLUMNS)
-        parts.append(points_in_spans(wanted, spans, ["video_id"], "t_s", "start_s", "end_s", bucket=1.0)
-                     .select("video_id", "win", *FRAME_COLUMNS))
+        parts.append(touched_windows(wanted, videos, "t_s", "t_s").select("video_id", "win", *FRAME_COLUMNS))
     present = set().union(*[p.columns for p in parts])
     gathered.setdefault("cuts", (F.lit(0), 0))
     gathered.setdefault("peak_ratio", (F.lit(1.0), 1.0))
@@ -327,8 +413,13 @@ def window_signals(
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
-    combined = stacked.groupBy("video_id", "win").agg(*[a.alias(n) for n, (a, _) in gathered.items()])
-    return combined.fillna({n: v for n, (_, v) in gathered.items() if v is not None})
+    combined = stacked.groupBy("video_id", "win").agg(*[a.alias(n) for n, (a, _) in gathered.items()]).filter("_base")
+    late = F.col("start_s") >= d * 0.8
+    falling = F.coalesce(F.col("_falling"), F.lit(False)) if curve is not None else F.lit(False)
+    combined = combined.withColumn(
+        "is_fading", late & F.when(tested, falling).otherwise(F.col("start_s") > d * 0.9))
+    return (combined.drop("_base", "_falling", "_points")
+            .fillna({n: v for n, (_, v) in gathered.items() if v is not None}))
 
 
 def score_windows(signals: DataFrame, presets: DataFrame | None = None, *, compat: bool = False) -> DataFrame:

@@ -32,6 +32,11 @@ def media_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", "value", F.from_json("props", "k INT")["k"].alias("k"))
 
 
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media events with their number ``idx`` in the video: the one table that all window signals come from."""
+    return ordered(media_events(spark, sf_dir), ["video_id"], ["us"], number="idx")
+
+
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = media_events(spark, sf_dir).select("video_id", "us", "t_s", "value")
     return ordered(events, ["video_id"], ["us"], number="idx").select("video_id", "idx", "t_s", "value")
@@ -44,36 +49,40 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.max("us") - F.min("us")) / F.lit(MICROS_PER_MEDIA_SECOND)).alias("duration_s"))
 
 
-def _times(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
-    return media_events(spark, sf_dir).filter(F.col("event_type") == event_type).select("video_id", "t_s")
+def times_of(events: DataFrame, event_type: str) -> DataFrame:
+    return events.filter(F.col("event_type") == event_type).select("video_id", "t_s")
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _times(spark, sf_dir, "click")
+    return times_of(media_events(spark, sf_dir), "click")
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _times(spark, sf_dir, "signup")
+    return times_of(media_events(spark, sf_dir), "signup")
 
 
-def _spans(spark: SparkSession, sf_dir: str, event_type: str, divisor: float) -> DataFrame:
-    return (media_events(spark, sf_dir).filter(F.col("event_type") == event_type)
+def spans_of(events: DataFrame, event_type: str, divisor: float) -> DataFrame:
+    return (events.filter(F.col("event_type") == event_type)
             .select("video_id", F.col("t_s").alias("start_s"),
                     (F.col("t_s") + F.col("value") / F.lit(divisor)).alias("end_s"),
                     F.concat(F.lit("k"), F.col("k").cast("string")).alias("text")))
 
 
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir, "view", 10.0)
+    return spans_of(media_events(spark, sf_dir), "view", 10.0)
 
 
 def silence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir, "error", 20.0)
+    return spans_of(media_events(spark, sf_dir), "error", 20.0)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-screen texts, one row per text region."""
-    return (media_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    return texts_of(media_events(spark, sf_dir))
+
+
+def texts_of(events: DataFrame) -> DataFrame:
+    return (events.filter(F.col("event_type") == "purchase")
             .select("video_id", "t_s", "value", F.concat(F.lit("k"), F.col("k").cast("string")).alias("text")))
 
 

@@ -19,12 +19,18 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
     return W.sliding_windows(A.videos(spark, d))
 
 
+def signals_of(spark: SparkSession, d: str, frames: DataFrame | None = None) -> DataFrame:
+    """All signals of the sliding windows, from one stored table of numbered events."""
+    e = cut(A.numbered_events(spark, d))
+    return W.window_signals(
+        _windows(spark, d), A.videos(spark, d), curve=e.select("video_id", "idx", "t_s", "value"),
+        cuts=A.times_of(e, "click"), texts=A.texts_of(e), silence=A.spans_of(e, "error", 20.0),
+        speech=A.spans_of(e, "view", 10.0), frames=frames)
+
+
 def best_windows(spark: SparkSession, d: str) -> DataFrame:
     """Best segment type of every window that has one."""
-    signals = W.window_signals(
-        _windows(spark, d), curve=cut(A.curve(spark, d)), cuts=A.boundaries(spark, d), texts=A.texts(spark, d),
-        silence=A.silence(spark, d), speech=A.speech(spark, d))
-    return W.best_type(W.score_windows(signals))
+    return W.best_type(W.score_windows(signals_of(spark, d)))
 
 
 def narrative_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -50,31 +56,36 @@ def w02(spark, d):
 
 
 def w03(spark, d):
-    c = W.points_in_windows(A.boundaries(spark, d), _windows(spark, d))
+    c = W.points_in_windows(A.boundaries(spark, d), _windows(spark, d), videos=A.videos(spark, d))
     return c.select("video_id", "win", "cuts", _r("cut_rate"))
 
 
 def w04(spark, d):
-    return W.peak_ratio(A.curve(spark, d), _windows(spark, d)).select("video_id", "win", _r("peak_ratio"))
+    p = W.peak_ratio(A.curve(spark, d), _windows(spark, d), A.videos(spark, d))
+    return p.select("video_id", "win", _r("peak_ratio"))
 
 
 _WORDS = {"has_one": ["K1"], "has_nine": ["k9", "nine"], "has_none": ["missing"]}
 
 
 def w05(spark, d):
-    return W.keyword_flags(A.texts(spark, d), _windows(spark, d), _WORDS).select("video_id", "win", *_WORDS)
+    f = W.keyword_flags(A.texts(spark, d), _windows(spark, d), _WORDS, A.videos(spark, d))
+    return f.select("video_id", "win", *_WORDS)
 
 
 def w06(spark, d):
-    return W.fading_flag(A.curve(spark, d), _windows(spark, d)).select("video_id", "win", "is_fading")
+    f = W.fading_flag(A.curve(spark, d), _windows(spark, d), A.videos(spark, d))
+    return f.select("video_id", "win", "is_fading")
 
 
 def w07(spark, d):
-    return W.edge_in_span(A.silence(spark, d), _windows(spark, d)).select("video_id", "win", "silence_edge")
+    e = W.edge_in_span(A.silence(spark, d), _windows(spark, d), videos=A.videos(spark, d))
+    return e.select("video_id", "win", "silence_edge")
 
 
 def w08(spark, d):
-    return W.overlap_seconds(A.speech(spark, d), _windows(spark, d)).select("video_id", "win", _r("speech_s"))
+    o = W.overlap_seconds(A.speech(spark, d), _windows(spark, d), videos=A.videos(spark, d))
+    return o.select("video_id", "win", _r("speech_s"))
 
 
 def event_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +112,7 @@ EVENT_FRAMES_SQL = """SELECT video_id, t_s, us, k % 3 AS face_count, k / 1000.0
 
 def w09(spark, d):
     frames = event_frames(spark, d).withColumn("idx", F.lit(0))
-    f = W.window_features(frames, _windows(spark, d))
+    f = W.window_features(frames, _windows(spark, d), videos=A.videos(spark, d))
     return f.select("video_id", "win", "has_face", _r("avg_flow"), _r("avg_edge_density"), _r("min_brightness"),
                     _r("max_hist_dist"), "persons", "vehicles", "animals", "objects")
 
@@ -112,9 +123,7 @@ def w11(spark, d):
 
 
 def w10(spark, d):
-    signals = W.window_signals(
-        _windows(spark, d), curve=A.curve(spark, d), cuts=A.boundaries(spark, d), texts=A.texts(spark, d),
-        silence=A.silence(spark, d), speech=A.speech(spark, d), frames=event_frames(spark, d))
+    signals = signals_of(spark, d, event_frames(spark, d))
     scored = W.score_windows(signals)
     one = scored.select("video_id", "win", F.explode("candidates").alias("c"))
     return one.select("video_id", "win", F.col("c.type").alias("structure_type"),
