@@ -11,40 +11,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Runs of a stage after which a save merges them.
+COMPACT_AFTER = 64
+
+
+def _folder(root: str, stage: str, *parts: str) -> str:
+    return os.path.join(root, f"stage={stage}", *parts)
+
+
+def _runs(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the runs in a folder, oldest first; compaction keeps their number near COMPACT_AFTER."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    return sorted(n.removeprefix("run=") for n in names if n.startswith("run="))
+
+
+def _write_run(artifact: DataFrame, root: str, stage: str, run: str, videos: DataFrame | None) -> None:
+    rows = _folder(root, stage, "rows", f"run={run}")
+    artifact.write.mode("overwrite").parquet(rows)
+    covered = artifact.sparkSession.read.parquet(rows) if videos is None else videos
+    covered.select("video_id").distinct().write.mode("overwrite").parquet(_folder(root, stage, "videos", f"run={run}"))
+
+
 def save_stage(artifact: DataFrame, root: str, stage: str, videos: DataFrame | None = None) -> str:
     """Append the artifact of a stage as one run; the newest run of a video replaces its older ones.
 
     ``videos`` names the videos the run covered, so that one without rows loses
     its older rows too; without it these are the videos of the artifact. The
     rows are written first and the list of videos after them: a run that failed
-    in between does not exist for readers. Saving never rewrites other videos.
+    in between does not exist for readers. Saving never rewrites other videos;
+    after ``COMPACT_AFTER`` runs it merges those that are there.
     """
-    base, run = os.path.join(root, f"stage={stage}"), f"r{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    rows = os.path.join(base, "rows", f"run={run}")
-    artifact.write.mode("overwrite").parquet(rows)
-    covered = artifact.sparkSession.read.parquet(rows) if videos is None else videos
-    covered.select("video_id").distinct().write.mode("overwrite").parquet(os.path.join(base, "videos", f"run={run}"))
+    run = f"r{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    _write_run(artifact, root, stage, run, videos)
+    if len(_runs(artifact.sparkSession, _folder(root, stage, "videos"))) > COMPACT_AFTER:
+        compact_stage(artifact.sparkSession, root, stage)
     return run
 
 
-def load_stage(spark: SparkSession, root: str, stage: str) -> DataFrame | None:
-    """Newest artifact rows of every video, or None when the stage was never saved.
+def _live(spark: SparkSession, root: str, stage: str) -> tuple[DataFrame, DataFrame] | None:
+    """Newest rows of every video, and the videos that have a run; None without any.
 
-    Reads the runs that are still the newest of some video; their names, one
-    per save, reach the driver.
+    The newest runs are joined with the folders of the rows by their names, so
+    folders that no video needs are not read.
     """
-    base = os.path.join(root, f"stage={stage}")
     try:
-        covered = spark.read.parquet(os.path.join(base, "videos"))
+        covered = spark.read.parquet(_folder(root, stage, "videos"))
     except AnalysisException:
         return None
     newest = covered.groupBy("video_id").agg(F.max("run").alias("run"))
-    live = sorted(r["run"] for r in newest.select("run").distinct().collect())
-    if not live:
-        return None
-    rows = os.path.join(base, "rows")
-    found = spark.read.option("basePath", rows).parquet(*[os.path.join(rows, f"run={r}") for r in live])
-    return found.join(newest, ["video_id", "run"], "left_semi").drop("run")
+    rows = spark.read.parquet(_folder(root, stage, "rows"))
+    return rows.join(newest, ["video_id", "run"], "left_semi").drop("run"), newest.select("video_id")
+
+
+def load_stage(spark: SparkSession, root: str, stage: str) -> DataFrame | None:
+    """Newest artifact rows of every video, or None when the stage was never saved."""
+    found = _live(spark, root, stage)
+    return None if found is None else found[0]
+
+
+def compact_stage(spark: SparkSession, root: str, stage: str) -> None:
+    """Merge all runs that are there into one and remove them; later runs stay newer.
+
+    The merged run sorts right behind the newest of those it holds, so readers
+    see the same rows before, between and after the steps. One compaction of a
+    stage at a time; a load that began before the removal has to be repeated.
+    """
+    old = _runs(spark, _folder(root, stage, "videos"))
+    if len(old) < 2:
+        return
+    known = spark.read.option("basePath", _folder(root, stage, "videos")).parquet(
+        *[_folder(root, stage, "videos", f"run={r}") for r in old])
+    newest = known.groupBy("video_id").agg(F.max("run").alias("run"))
+    rows = spark.read.option("basePath", _folder(root, stage, "rows")).parquet(
+        *[_folder(root, stage, "rows", f"run={r}") for r in old])
+    _write_run(rows.join(newest, ["video_id", "run"], "left_semi").drop("run"), root, stage, old[-1] + "-all",
+               newest.select("video_id"))
+    for part in ("videos", "rows"):  # without its videos a run does not exist for readers
+        for run in old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_folder(root, stage, part, f"run={run}"))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _KNOWN = ("status", "type", "input_path", "progress", "result", "error", "created_at", "updated_at")

@@ -143,3 +143,18 @@ def test_work_folder_needs_a_shared_folder_on_a_cluster():
     context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="a")
     with pytest.raises(ValueError):
         work_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_many_saves_are_merged_and_load_alike(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(stages, "COMPACT_AFTER", 3)
+    root, want = str(tmp_path / "store"), {}
+    for i in range(9):
+        rows = [(i % 4, float(i)), (10 + i, 0.5)]
+        stages.save_stage(spark.createDataFrame(rows, "video_id long, t_s double"), root, "cuts")
+        want.update({k: v for k, v in rows})
+        assert {r.video_id: r.t_s for r in stages.load_stage(spark, root, "cuts").collect()} == want
+    gone = spark.createDataFrame([(2,)], "video_id long")
+    stages.save_stage(spark.createDataFrame([], "video_id long, t_s double"), root, "cuts", gone)
+    del want[2]
+    assert {r.video_id: r.t_s for r in stages.load_stage(spark, root, "cuts").collect()} == want
+    assert len(list((tmp_path / "store" / "stage=cuts" / "rows").iterdir())) <= 5
