@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from clipline.operators.chunks import search
 
 ROWS_PER_CHUNK = 1_000_000
-#: Chunks of a table that is not dense; four times the number of shuffle partitions unless set. It bounds the carry.
+#: Chunks of a table that is not dense; twice the number of shuffle partitions unless set. It bounds the carry.
 CHUNKS: int | None = None
 
 _CHUNK = "_chunk"
 
 
 def _number_of_chunks(df: DataFrame) -> int:
-    return CHUNKS or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return CHUNKS or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 @dataclass

@@ -52,6 +52,14 @@ def _edges(win: Column, full: Column, d: Column, size: float, step: float) -> tu
     return F.round(start, 1), F.when(win < full, F.round(start + F.lit(float(size)), 1)).otherwise(F.round(d, 1))
 
 
+def _with_edges(wins: Column, full: Column, d: Column, size: float, step: float) -> Column:
+    """Window numbers with their times, worked out once for each."""
+    def one(win: Column) -> Column:
+        start, end = _edges(win, full, d, size, step)
+        return F.struct(win.alias("win"), start.alias("win_start"), end.alias("win_end"))
+    return F.transform(wins, one)
+
+
 def _near_windows(low: Column, high: Column, slots: Column, size: float, step: float) -> Column:
     """Numbers of all windows that may touch ``low`` to ``high`` (media time), one or two more on each side."""
     first = F.greatest(F.lit(0).cast("long"), F.floor((low - F.lit(float(size))) / F.lit(float(step))).cast("long") - 1)
@@ -70,10 +78,10 @@ def touched_windows(rows: DataFrame, videos: DataFrame, start: str, end: str, si
     full, slots = _counts(d, size, step)
     known = videos.filter(F.col("duration_s") > size).select("video_id", F.col("duration_s").alias("_d")).withColumns(
         {"_full": full, "_slots": slots})
-    near = rows.filter(F.col(start) <= F.col(end)).join(known, "video_id").withColumn(
-        "win", F.explode(_near_windows(F.col(start), F.col(end), F.col("_slots"), size, step)))
-    win_start, win_end = _edges(F.col("win"), F.col("_full"), d, size, step)
-    near = near.withColumn("win_start", win_start).withColumn("win_end", win_end).drop("_d", "_full", "_slots")
+    wins = _near_windows(F.col(start), F.col(end), F.col("_slots"), size, step)
+    near = rows.filter(F.col(start) <= F.col(end)).join(known, "video_id").select(
+        *rows.columns, F.explode(_with_edges(wins, F.col("_full"), d, size, step)).alias("_w"))
+    near = near.select(*rows.columns, "_w.win", "_w.win_start", "_w.win_end")
     return near.filter((F.col("win_start") <= F.col(end)) & (F.col("win_end") >= F.col(start)))
 
 
@@ -161,7 +169,7 @@ def _curve_windows(curve: DataFrame, videos: DataFrame, size: float = 1.0, step:
     window is of the video, so the windows of a point follow from its number.
     """
     totals = curve_totals(curve).select("video_id", "n_points", "curve_mean")
-    d, n, idx, win = F.col("duration_s"), F.col("n_points"), F.col("idx"), F.col("win")
+    d, n, idx = F.col("duration_s"), F.col("n_points"), F.col("idx")
     full, slots = _counts(d, size, step)
     known = videos.filter(d > size).select("video_id", "duration_s").join(totals, "video_id").withColumns(
         {"_full": full, "_slots": slots, "_reach": (n * 0.05).cast("long")})
@@ -175,15 +183,16 @@ def _curve_windows(curve: DataFrame, videos: DataFrame, size: float = 1.0, step:
         around(idx - 1, F.coalesce(to_end, idx + 2)),
         F.when(late, around(idx - F.col("_reach") - 3, F.coalesce(to_end, idx - F.col("_reach") + 4)))
         .otherwise(F.array().cast("array<bigint>"))))
-    rows = curve.select("video_id", "idx", "value").join(known, "video_id").withColumn("win", F.explode(places))
-    start, end = _edges(win, F.col("_full"), d, size, step)
+    rows = curve.select("video_id", "idx", "value").join(known, "video_id")
+    rows = rows.withColumn("_w", F.explode(_with_edges(places, F.col("_full"), d, size, step)))
+    start, end = F.col("_w.win_start"), F.col("_w.win_end")
     i_from, i_to = _bounds(start, end, d, n)
     raw = (start / d * n).cast("long")
     first = F.greatest(F.lit(0), F.least(raw, n - 2)).cast("long")
     last = F.greatest(first + 2, F.least(raw + F.col("_reach"), n)).cast("long")
     fades = (n >= 4) & (start >= d * 0.8)
     rows = rows.select(
-        "video_id", "win", "value", "curve_mean", "n_points", ((idx >= i_from) & (idx < i_to)).alias("in_slice"),
+        "video_id", "_w.win", "value", "curve_mean", "n_points", ((idx >= i_from) & (idx < i_to)).alias("in_slice"),
         F.when(fades & idx.between(first, first + 1), 1).otherwise(0).alias("as_first"),
         F.when(fades & idx.between(last - 2, last - 1), 1).otherwise(0).alias("as_last"))
     return rows.filter("in_slice OR as_first > 0 OR as_last > 0")

@@ -89,8 +89,15 @@ def x08(spark, d):
                       "sub_type", "confidence", F.array_join("evidence", "|").alias("evidence"))
 
 
+def s11(spark, d):
+    """Every event written as a file line and read back as a stream, counted per video and kind."""
+    found = E.run_append(_stream(spark, d, files_per_trigger=50).select("video_id", "kind", "ts", "seq"), "written")
+    return found.groupBy("video_id", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("ts")).alias("last_us"), F.sum("seq").alias("seqs"))
+
+
 QUERIES = {
-    "x01_dedupe_events": x01, "x02_throttle": x02, "x03_expire_heartbeats": x03, "x04_latest_progress": x04,
+    "s11_write_events": s11, "x01_dedupe_events": x01, "x02_throttle": x02, "x03_expire_heartbeats": x03, "x04_latest_progress": x04,
     "x05_until_terminal": x05, "x06_replay": x06, "x07_live_windows": x07, "x08_live_merge": x08,
 }
 
@@ -100,6 +107,8 @@ _E = f"""SELECT user_id, event_id, epoch_us(ts) AS us, value, event_type,
     CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"""
 
 ORACLE = {
+    "s11_write_events": f"""SELECT user_id AS video_id, kind, count(*) AS n, max(us) AS last_us,
+        CAST(sum(event_id) AS BIGINT) AS seqs FROM (SELECT *, {_KIND} AS kind FROM ({_E})) GROUP BY ALL""",
     "x01_dedupe_events": """SELECT DISTINCT user_id AS video_id, 'm' || json_extract_string(props, '$.k') AS module_id
         FROM events""",
     "x02_throttle": f"""WITH RECURSIVE e AS ({_E}), walk AS (SELECT user_id, min(us) AS us FROM e GROUP BY user_id
