@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import escape
 from html.parser import HTMLParser
@@ -18,7 +19,11 @@ from clipline.llm.common import map_batches, text_or_empty
 # Element kinds of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "head", "title", "noscript", "template", "textarea", "select", "button", "svg", "iframe",
-          "object", "canvas", "audio", "video", "datalist"}
+          "object", "canvas", "audio", "video", "datalist", "math"}
+FOREIGN = {"svg", "math"}
+CONTROLS = {"button", "select", "datalist"}
+SECTIONS = {"article", "main", "section", "nav", "aside", "header", "footer"}
+RAW = {"script", "style", "title", "textarea", "iframe", "template"}
 HEAD = {"base", "basefont", "bgsound", "link", "meta"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
           "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -46,33 +51,61 @@ class Node:
 
 
 class PageParser(HTMLParser):
-    """Elements and text blocks of a page in page order. Inline elements belong to the block around them."""
+    """Elements and text blocks of a page in page order. Inline elements belong to the block around them.
+
+    A hidden element ends with its end tag, with a slash if it is foreign (svg,
+    math), or, if nobody closes it, with the end tag of an element around it; a
+    button or list of options also where a section begins.
+    Open elements are counted by name, so an end tag that closes nothing costs
+    nothing, and every other one costs what it closes.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("body", -1)]
         self.stack: list[tuple[str, int]] = [("body", 0)]
+        self.open: dict[str, list[int]] = {"body": [0]}
         self.block = -1
         self.hidden: list[str] = []
+        self.concealed: Counter[str] = Counter()
+        self.inner: Counter[str] = Counter()
         self.anchors = 0
 
+    def _hide(self, tag: str) -> None:
+        self.hidden.append(tag)
+        self.concealed[tag] += 1
+
+    def _show(self) -> None:
+        self.hidden.clear()
+        self.concealed.clear()
+        self.inner.clear()
+
+    def _push(self, tag: str, node: int) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node))
+
     def _close(self, names: set[str], until: set[str]) -> None:
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at][0] in names:
-                del self.stack[at:]
-                self.block = -1
-                return
-            if self.stack[at][0] in until:
-                return
+        """Closes the innermost open element of ``names``, unless one of ``until`` is open inside it."""
+        at = max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+        if at < 1 or any(self.open[n][-1] > at for n in until if self.open.get(n)):
+            return
+        for tag, _ in self.stack[at:]:
+            self.open[tag].pop()
+        del self.stack[at:]
+        self.block = -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.hidden:
             if tag == self.hidden[-1] and tag not in VOID:
-                self.hidden.append(tag)
+                self._hide(tag)
             elif self.hidden[-1] in ("head", "noscript") and tag in HIDDEN:
-                self.hidden.append(tag)
+                self._hide(tag)
             elif self.hidden == ["head"] and tag not in HEAD:
-                self.hidden.clear()
+                self._show()
+            elif tag in SECTIONS and sum(self.concealed[c] for c in CONTROLS) == len(self.hidden):
+                self._show()
+            elif tag not in VOID:
+                self.inner[tag] += 1
         if self.hidden:
             return
         if tag in ("br", "wbr") or tag in INLINE:
@@ -89,7 +122,7 @@ class PageParser(HTMLParser):
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], LIMITS - SIBLINGS[tag])
         if tag in HIDDEN:
-            self.hidden.append(tag)
+            self._hide(tag)
             return
         if tag in VOID:
             return
@@ -99,16 +132,29 @@ class PageParser(HTMLParser):
         if "hidden" in values or "none" in (values.get("style") or "") and "display" in values["style"]:
             tokens.add("!hidden")
         self.nodes.append(Node(tag, self.stack[-1][1], tuple(sorted(tokens)), values.get(LABEL) == "1"))
-        self.stack.append((tag, len(self.nodes) - 1))
+        self._push(tag, len(self.nodes) - 1)
         self.anchors = 0
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML but void elements
+        if tag in FOREIGN or any(self.concealed[f] for f in FOREIGN):
+            if not self.hidden:
+                self.block = -1
+            return
+        self.handle_starttag(tag, attrs)  # a slash closes nothing else in HTML
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.pop()
+            if self.concealed[tag]:
+                while (last := self.hidden.pop()) != tag:
+                    self.concealed[last] -= 1
+                self.concealed[tag] -= 1
+                if not self.hidden:
+                    self._show()
+            elif self.inner[tag]:
+                self.inner[tag] -= 1
+            elif self.hidden[-1] not in RAW and self.open.get(tag) and tag not in ("html", "body"):
+                self._show()
+                self._close({tag}, set())
             return
         if tag in INLINE:
             if tag == "a" and self.anchors:
