@@ -22,6 +22,9 @@ SAMPLE_ROWS = 16_000
 LEAST_DOCS = 3
 #: A term needs this likelihood ratio (G squared) against the share of label 1, so that chance terms get no weight.
 LEAST_EVIDENCE = 24.0
+#: Pairs of terms are tested on the documents that no such term explains, if they have this ratio. Each term must be in
+#: PAIR_SHARE of the explained-by-nothing documents of label 1, and at most PAIR_TERMS terms, the commonest, are paired.
+PAIR_EVIDENCE, PAIR_SHARE, PAIR_TERMS = 60.0, 0.1, 2048
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -84,20 +87,67 @@ def _logits(bias, weights, factors, rows, sizes):
 def evidence(hits: np.ndarray, counts: np.ndarray, positive: int, total: int) -> np.ndarray:
     """Likelihood ratio of each term: its documents with and without label 1 against those of all terms' documents."""
     share = positive / max(total, 1)
-    out = np.zeros(len(counts))
+    out = np.zeros(np.shape(counts))
     for seen, expected in ((hits, counts * share), (counts - hits, counts * (1 - share))):
         some = (seen > 0) & (expected > 0)
         out[some] += 2 * seen[some] * np.log(seen[some] / expected[some])
     return out
 
 
+def telling_pairs(terms: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Pairs of terms that tell labels apart although neither term does: (a, b, whether the pair speaks for label 1).
+
+    Both terms lie below the evidence that single terms need; how often they
+    meet is a matrix product over the documents given.
+    """
+    positive = [t for t, y in zip(terms, labels) if y > 0]
+    if len(positive) < LEAST_DOCS or len(positive) == len(terms):
+        return []
+    size = 1 << SPACE_BITS
+    seen = np.bincount(np.concatenate(positive).astype(np.int64), minlength=size)
+    common = np.flatnonzero(seen >= max(LEAST_DOCS, PAIR_SHARE * len(positive)))
+    common = np.sort(common[np.argsort(-seen[common], kind="stable")[:PAIR_TERMS]])
+    if len(common) < 2:
+        return []
+    met = {}
+    for wanted in (True, False):
+        total = np.zeros((len(common), len(common)), dtype=np.float64)
+        own = [t for t, y in zip(terms, labels) if (y > 0) == wanted]
+        for low in range(0, len(own), 512):
+            block = np.zeros((len(own[low:low + 512]), len(common)), dtype=np.float32)
+            for row, found in zip(block, own[low:low + 512]):
+                at = np.searchsorted(common, found)
+                at = at[at < len(common)]
+                row[at[np.isin(common[at], found)]] = 1
+            total += block.T @ block
+        met[wanted] = total
+    hits, counts = met[True], met[True] + met[False]
+    ratio = evidence(hits, counts, len(positive), len(terms))
+    single = np.diag(ratio)
+    strong = (ratio >= PAIR_EVIDENCE) & (single[:, None] < LEAST_EVIDENCE) & (single[None, :] < LEAST_EVIDENCE)
+    share = len(positive) / len(terms)
+    return [(int(common[i]), int(common[j]), bool(hits[i, j] > share * counts[i, j]))
+            for i, j in np.argwhere(np.triu(strong, 1))]
+
+
 def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.05,
           decay: float = 2e-4, factor_decay: float = 1e-3, seed: int = 3) -> Machine:
-    """Fits by adaptive gradient steps on the logistic loss. Terms without evidence get no weight."""
+    """Fits by adaptive gradient steps on the logistic loss.
+
+    Terms get weights and factors if they have evidence of their own, or as
+    part of a pair that has it (``telling_pairs``, among the documents without
+    a term that speaks for label 1). Factors of such a pair start on one
+    dimension, with equal signs if the pair speaks for label 1, else opposed.
+    """
     counts = np.bincount(np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << SPACE_BITS)
     positive = [t for t, y in zip(terms, labels) if y > 0]
     hits = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << SPACE_BITS)
-    kept = np.flatnonzero((counts >= LEAST_DOCS) & (evidence(hits, counts, len(positive), len(terms)) >= LEAST_EVIDENCE))
+    alone = (counts >= LEAST_DOCS) & (evidence(hits, counts, len(positive), len(terms)) >= LEAST_EVIDENCE)
+    speaking = alone & (hits * max(len(terms), 1) > counts * len(positive))
+    open_ = [i for i, t in enumerate(terms) if not speaking[t].any()]
+    pairs = telling_pairs([terms[i] for i in open_], labels[open_])
+    alone[[t for a, b, _ in pairs for t in (a, b)]] = True
+    kept = np.flatnonzero(alone)
     place = np.zeros(1 << SPACE_BITS, dtype=np.int32)
     place[kept] = np.arange(1, len(kept) + 1)
     own = [r[r > 0] for r in (place[t] for t in terms)]
@@ -105,6 +155,9 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch:
     n = len(kept) + 1
     weights, factors = np.zeros(n), rng.normal(0, 0.01, (FACTORS, n))
     factors[:, 0] = 0
+    for k, (a, b, speaks) in enumerate(pairs):
+        factors[k % FACTORS, place[a]] += 0.3
+        factors[k % FACTORS, place[b]] += 0.3 if speaks else -0.3
     rarity = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     bias, seen_w, seen_v, seen_b = float(np.log(rarity / (1 - rarity))), np.full(n, 1e-6), np.full((FACTORS, n), 1e-6), 1e-6
     for _ in range(epochs):
@@ -158,14 +211,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A machine from the labelled rows that are not held out.
 
     At most ``sample_rows`` labels are used, those with the smallest hashes of
-    their ids, and each once; only hashed terms leave the executors. Null
-    labels and null ids are no labels.
+    their ids, and each once, with the text of the smallest hash if an id
+    repeats; only hashed terms leave the executors. Null labels and null ids
+    are no labels.
     """
     known = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
              .groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    one = F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one")
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(one).select(
+        "doc_id", "label", "one.text")
     found = term_lists(rows, ["doc_id", "label"], "text").toArrow().sort_by("doc_id")
     lists = found.column("terms").combine_chunks()
     values, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
