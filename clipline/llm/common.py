@@ -8,9 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipline.session import cut
+
 #: ASCII white space as the contracts name it, in Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by its Python worker.
+BATCH_ROWS = 1_000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -32,9 +37,28 @@ def local_table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array(list(c), pa.int64()) for c in columns], names)
 
 
+def stored(df: DataFrame, rows_per_task: int = 100_000) -> tuple[DataFrame, int]:
+    """``df`` behind a checkpoint, and its number of rows.
+
+    A small table left in very many partitions would make as many shuffle
+    files in every later step, so partitions are joined until a task has about
+    ``rows_per_task`` rows; larger tables keep theirs.
+    """
+    kept = cut(df)
+    rows = kept.count()
+    return kept.coalesce(max(1, -(-rows // rows_per_task))), rows
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
                 schema: str) -> DataFrame:
-    """Arrow batches through a function that ``make`` builds once per task."""
+    """Arrow batches through a function that ``make`` builds once per task.
+
+    Sets the session's Arrow batches to BATCH_ROWS rows if they are longer.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCHES)) <= BATCH_ROWS:
+        conf.set(_BATCHES, str(BATCH_ROWS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:

@@ -24,7 +24,7 @@ LEAST_DOCS = 3
 LEAST_EVIDENCE = 24.0
 #: Pairs of terms are tested on the documents that no such term explains, if they have this ratio. Each term must be in
 #: PAIR_SHARE of the explained-by-nothing documents of label 1, and at most PAIR_TERMS terms, the commonest, are paired.
-PAIR_EVIDENCE, PAIR_SHARE, PAIR_TERMS = 60.0, 0.1, 2048
+PAIR_EVIDENCE, PAIR_SHARE, PAIR_TERMS = 60.0, 0.1, 1024
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -94,6 +94,15 @@ def evidence(hits: np.ndarray, counts: np.ndarray, positive: int, total: int) ->
     return out
 
 
+def documents_with(terms: list[np.ndarray]) -> np.ndarray:
+    """In how many documents each term is; documents are counted in parts, so that no copy of all terms is made."""
+    counts = np.zeros(1 << SPACE_BITS, dtype=np.int64)
+    for low in range(0, len(terms), 512):
+        some, times = np.unique(np.concatenate(terms[low:low + 512]), return_counts=True)
+        counts[some.astype(np.int64)] += times
+    return counts
+
+
 def telling_pairs(terms: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int, bool]]:
     """Pairs of terms that tell labels apart although neither term does: (a, b, whether the pair speaks for label 1).
 
@@ -103,15 +112,14 @@ def telling_pairs(terms: list[np.ndarray], labels: np.ndarray) -> list[tuple[int
     positive = [t for t, y in zip(terms, labels) if y > 0]
     if len(positive) < LEAST_DOCS or len(positive) == len(terms):
         return []
-    size = 1 << SPACE_BITS
-    seen = np.bincount(np.concatenate(positive).astype(np.int64), minlength=size)
+    seen = documents_with(positive)
     common = np.flatnonzero(seen >= max(LEAST_DOCS, PAIR_SHARE * len(positive)))
     common = np.sort(common[np.argsort(-seen[common], kind="stable")[:PAIR_TERMS]])
     if len(common) < 2:
         return []
     met = {}
     for wanted in (True, False):
-        total = np.zeros((len(common), len(common)), dtype=np.float64)
+        total = np.zeros((len(common), len(common)), dtype=np.float32)  # whole numbers, exact up to 2^24
         own = [t for t, y in zip(terms, labels) if (y > 0) == wanted]
         for low in range(0, len(own), 512):
             block = np.zeros((len(own[low:low + 512]), len(common)), dtype=np.float32)
@@ -121,13 +129,19 @@ def telling_pairs(terms: list[np.ndarray], labels: np.ndarray) -> list[tuple[int
                 row[at[np.isin(common[at], found)]] = 1
             total += block.T @ block
         met[wanted] = total
-    hits, counts = met[True], met[True] + met[False]
-    ratio = evidence(hits, counts, len(positive), len(terms))
-    single = np.diag(ratio)
-    strong = (ratio >= PAIR_EVIDENCE) & (single[:, None] < LEAST_EVIDENCE) & (single[None, :] < LEAST_EVIDENCE)
-    share = len(positive) / len(terms)
-    return [(int(common[i]), int(common[j]), bool(hits[i, j] > share * counts[i, j]))
-            for i, j in np.argwhere(np.triu(strong, 1))]
+    share, out = len(positive) / len(terms), []
+
+    def ratios(low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hits = met[True][low:high].astype(np.float64)
+        counts = hits + met[False][low:high]
+        return evidence(hits, counts, len(positive), len(terms)), hits, counts
+    weak = np.concatenate([np.diagonal(ratios(i, i + 128)[0], i) for i in range(0, len(common), 128)]) < LEAST_EVIDENCE
+    for low in range(0, len(common), 128):
+        ratio, hits, counts = ratios(low, low + 128)
+        strong = np.triu((ratio >= PAIR_EVIDENCE) & weak[low:low + 128, None] & weak[None, :], low + 1)
+        out += [(int(common[low + i]), int(common[j]), bool(hits[i, j] > share * counts[i, j]))
+                for i, j in np.argwhere(strong)]
+    return out
 
 
 def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.05,
@@ -139,9 +153,8 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch:
     a term that speaks for label 1). Factors of such a pair start on one
     dimension, with equal signs if the pair speaks for label 1, else opposed.
     """
-    counts = np.bincount(np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << SPACE_BITS)
-    positive = [t for t, y in zip(terms, labels) if y > 0]
-    hits = np.bincount(np.concatenate([*positive, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << SPACE_BITS)
+    counts, positive = documents_with(terms), [t for t, y in zip(terms, labels) if y > 0]
+    hits = documents_with(positive)
     alone = (counts >= LEAST_DOCS) & (evidence(hits, counts, len(positive), len(terms)) >= LEAST_EVIDENCE)
     speaking = alone & (hits * max(len(terms), 1) > counts * len(positive))
     open_ = [i for i, t in enumerate(terms) if not speaking[t].any()]
@@ -222,11 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     one = F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("one")
     rows = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(one).select(
         "doc_id", "label", "one.text")
-    found = term_lists(rows, ["doc_id", "label"], "text").toArrow().sort_by("doc_id")
-    lists = found.column("terms").combine_chunks()
-    values, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    terms = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    return train(terms, found.column("label").to_numpy().astype(np.float64))
+    found = term_lists(rows, ["doc_id", "label"], "text").toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    terms = [x.values.to_numpy() for chunk in found.column("terms").chunks for x in chunk]
+    labels_ = found.column("label").to_numpy().astype(np.float64)[order]
+    return train([terms[i] for i in order], labels_)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
