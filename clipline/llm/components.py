@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipline.session import cut
+from clipline.llm.common import stored
+
+#: Links of a task between two steps of a round, unless that makes SPREAD tasks or more.
+ROWS_PER_TASK, SPREAD = 100_000, 64
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -34,12 +37,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contraction: minima by grouping, which combines on the map
     side, so a hub with millions of links stays spread; a checkpoint cuts the
-    lineage after each round; rounds grow with the logarithm of the longest path.
+    lineage after each round; rounds grow with the logarithm of the longest
+    path. Few links stay in few tasks.
     """
-    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges, rows = stored(
+        links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = _mark(edges)
-    while mark[0]:
-        edges = cut(_small_star(_large_star(edges)).distinct())
+    while rows:
+        few = -(-rows // ROWS_PER_TASK)
+        large = _large_star(edges)
+        edges, rows = stored(_small_star(large.coalesce(few) if few < SPREAD else large).distinct())
         new = _mark(edges)
         if new == mark:
             break
